@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op02_toxicity, op03_bpe, op08_exact, op09_minmax, op10_decontaminate
+from . import op01_backoff, op02_toxicity, op03_bpe, op06_substring, op08_exact, op09_minmax, op10_decontaminate
 
 _ALL = {
+    "op1_stupid_backoff": op01_backoff,
     "op2_toxicity": op02_toxicity,
     "op3_byte_bpe": op03_bpe,
+    "op6_substring_dedup": op06_substring,
     "op8_exact_dedup": op08_exact,
     "op9_minmax_near_dedup": op09_minmax,
     "op10_decontamination": op10_decontaminate,
