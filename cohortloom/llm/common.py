@@ -127,3 +127,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not changed:
             release(spark, edges_path)
             return labels
+
+
+def _pack(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        chunk = b.column(0).to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0])
+        cells, kept = [], []
+        for i, j in zip(at, np.r_[at[1:], len(order)]):
+            part = b.take(pa.array(order[i:j])).select([1, 2])
+            for k in range(0, part.num_rows, 1024):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                    w.write_batch(part.slice(k, 1024))
+                cells.append(sink.getvalue().to_pybytes())
+                kept.append(chunk[order[i]])
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(cells, pa.binary())], names=["chunk", "packed"])
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """(chunk, packed) of rows (chunk, doc_id, text), shuffled by chunk; each cell holds a batch's rows of a chunk, compressed together."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.mapInArrow(_pack, "chunk long, packed binary").repartition(n, "chunk")
+
+
+def unpacked(t):
+    """The (doc_id, text) tables of a chunk's cells, one by one."""
+    import pyarrow as pa
+
+    for cell in t.column("packed"):
+        yield pa.ipc.open_stream(cell.as_buffer()).read_all()

@@ -21,16 +21,17 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, tokens
 
 RANKS = os.environ.get("COHORTLOOM_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: The pre-token pattern of the rank file in Java's dialect; it covers every character.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pre-token pattern of the rank file; it covers every character.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_BYTES = 4 << 20  # of a chunk, as stored
 
@@ -53,21 +54,31 @@ def vocabulary(path: str):
     return _loaded[path]
 
 
-def pieces(text: Column) -> Column:
-    """A text's pre-tokens in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+_split = regex.compile(SPLIT)
 
 
-def _dictionary(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct pieces in byte order, index of every piece, first piece of every text) of a list column."""
-    lists = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    index = rank[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int32)
-    return coded.dictionary.take(pa.array(order)), index, np.concatenate([[0], np.cumsum(counts)])
+def _dictionary(t: pa.Table) -> tuple[pa.Array, np.ndarray, list[int], list]:
+    """(distinct pieces of a chunk, index of every piece in order, pieces of every text or -1 for null, ids)."""
+    code: dict[str, int] = {}
+    index, counts, ids = [np.zeros(0, np.int32)], [], []
+    for rows in common.unpacked(t):
+        ids += rows.column("doc_id").to_pylist()
+        for cell in rows.column("text"):
+            text = cell.as_py()
+            if text is None:
+                counts.append(-1)
+                continue
+            own = np.array([code.setdefault(p, len(code)) for p in _split.findall(text)], np.int32)
+            index.append(own)
+            counts.append(len(own))
+    return pa.array(list(code), pa.string()), np.concatenate(index), counts, ids
+
+
+def _in_order(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words' places by bucket and then bytes, their buckets): the same however the chunk's rows come."""
+    bucket, by_bytes = _buckets(words, n), pc.sort_indices(words).to_numpy()
+    order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
+    return order, bucket[order]
 
 
 def _buckets(words: pa.Array, n: int) -> np.ndarray:
@@ -89,12 +100,11 @@ def _buckets(words: pa.Array, n: int) -> np.ndarray:
 
 def _ask(n_buckets: int):
     def ask(t: pa.Table) -> pa.Table:
-        words, _, _ = _dictionary(t.column("pieces"))
-        bucket = _buckets(words, n_buckets)
+        words = _dictionary(t)[0]
+        order, bucket = _in_order(words, n_buckets)
         z = zstandard.ZstdCompressor(level=3)
         used, cells = np.unique(bucket), []
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.r_[used, n_buckets])
+        bounds = np.searchsorted(bucket, np.r_[used, n_buckets])
         for a, b in zip(bounds, bounds[1:]):
             off, data = tokens.buffers(words.take(pa.array(order[a:b])))
             size = np.diff(off)
@@ -144,11 +154,10 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - size, size) + np.repeat(start.astype(np.int64), size)
 
 
-def _place(n_buckets: int):
+def _place(n_buckets: int, arrow_id: pa.DataType):
     def place(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        words, index, starts = _dictionary(docs.column("pieces"))
-        bucket = _buckets(words, n_buckets)
-        order = np.argsort(bucket, kind="stable")
+        words, index, counts, doc_ids = _dictionary(docs)
+        order, bucket = _in_order(words, n_buckets)
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()))
         sizes, flats = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for b in np.unique(bucket):
@@ -160,28 +169,29 @@ def _place(n_buckets: int):
         first = np.cumsum(size, dtype=np.int64) - size
         size_of, first_of = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         size_of[order], first_of[order] = size, first
-        n_ids = size_of[index]
-        total = np.concatenate([[0], np.cumsum(n_ids)])
-        ids = flat[_ranges(first_of[index], n_ids)].astype(np.int32)
-        null = docs.column("pieces").combine_chunks().is_null()
-        lists = pa.ListArray.from_arrays(pa.array(total[starts].astype(np.int32)), pa.array(ids), mask=null)
-        return pa.table({"doc_id": docs.column("doc_id"), "token_ids": lists})
+        starts = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))]).astype(np.int64)
+        step = 1 << 19  # pieces at once, so that temporaries stay small
+        n_ids = np.concatenate([[0], np.cumsum(size_of[index])])
+        ids = np.empty(n_ids[-1], np.int32)
+        for at in range(0, len(index), step):
+            i = index[at : at + step]
+            ids[n_ids[at] : n_ids[at + len(i)]] = flat[_ranges(first_of[i], size_of[i])]
+        lists = pa.ListArray.from_arrays(pa.array(n_ids[starts].astype(np.int32)), pa.array(ids), mask=pa.array([n < 0 for n in counts], pa.bool_()))
+        return pa.table({"doc_id": pa.array(doc_ids, arrow_id), "token_ids": lists})
 
     return place
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, token_ids) of every row."""
-    spark = docs.sparkSession
     n_chunks = common.parts(docs, chunk_bytes)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(1, min(n_chunks, 1 << 20))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    laid = rows.repartition(max(n_parts, 1), "chunk").select("chunk", "doc_id", pieces(F.col("text")).alias("pieces"))
+    laid = common.laid_out(rows)
     asked = laid.groupBy("chunk").applyInArrow(_ask(n_buckets), "bucket long, chunk long, words binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer(ranks_path), "chunk long, bucket long, ids binary")
-    schema = T.StructType([laid.schema["doc_id"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_place(n_buckets), schema)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    return laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_place(n_buckets, to_arrow_type(rows.schema["doc_id"].dataType)), schema)
 
 
 def _decode(path: str):

@@ -1,2 +1,327 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries of co-occurrence, triples, graphs and communities, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import communities as comm
+from ..operators import cooccurrence, ehr, graph, triples
+from ..sources import clinical
+from . import ehr_queries
+
+_V, _RET = clinical.SQL_VIEWS, ehr_queries._RET
+
+
+def _visit_sets(spark, d):
+    """A set for every retained visit, with its number of rolling documents as weight: visit j of n is in n - j of them."""
+    v = ehr.retained(clinical.visit_lists(spark, d))
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy("patient_id"))
+    return cooccurrence.concept_sets(v.withColumn("weight", n - F.col("sample_idx")), ["visit_id", "visit_key", "weight"])
+
+
+def concept_sets(spark, d):
+    s = _visit_sets(spark, d)
+    return s.select("visit_id", "weight", F.array_join(F.array_sort("concepts"), "|").alias("concepts"))
+
+
+def cooccurrence_counts(spark, d):
+    return cooccurrence.pair_counts(_visit_sets(spark, d), "weight")
+
+
+def cooccurrence_topk(spark, d):
+    return cooccurrence.top_partners(cooccurrence.pair_counts(_visit_sets(spark, d), "weight"))
+
+
+def cooccurrence_union(spark, d):
+    """Visits and events (type and property) as two datasets' sets in one count."""
+    e = clinical.read(spark, d, "events").select(F.array("event_type", "props").alias("concepts"), F.lit(1).cast("bigint").alias("weight"))
+    both = _visit_sets(spark, d).select("concepts", F.col("weight").cast("bigint")).unionByName(e)
+    return cooccurrence.top_partners(cooccurrence.pair_counts(both, "weight"), 5)
+
+
+def near_dup_sets(spark, d):
+    """Sets of the visits' concepts; not SQL: a greedy scan."""
+    s = _visit_sets(spark, d).select(F.col("visit_key").alias("ord"), "concepts").filter(F.size("concepts") > 10)
+    return cooccurrence.near_duplicate_filter(s, 5, 10).select("ord", F.size("concepts").alias("n_concepts"))
+
+
+def near_dup_sets_all(spark, d):
+    """All sets of customers' segments and nations' codes, small ones too."""
+    c = clinical.read(spark, d, "customer")
+    s = c.groupBy(F.col("c_nationkey").cast("long").alias("ord")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("concepts"))
+    return cooccurrence.near_duplicate_filter(s, 5).select("ord", F.size("concepts").alias("n_concepts"))
+
+
+def _graph_source(spark, d):
+    s, n, r = (clinical.read(spark, d, t) for t in ("supplier", "nation", "region"))
+    a = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_name").alias("head"), F.lit("PAR").alias("relation"), F.col("n_name").alias("tail"))
+    b = n.join(r, n.n_regionkey == r.r_regionkey)
+    return a.unionByName(b.select(F.col("n_name").alias("head"), F.lit("RB").alias("relation"), F.col("r_name").alias("tail"))).unionByName(b.select(F.col("r_name").alias("head"), F.lit("CHD").alias("relation"), F.col("n_name").alias("tail")))
+
+
+def _text(spark, d):
+    p = clinical.read(spark, d, "part")
+    return p.select("p_partkey", F.concat(F.lit("found: ["), "p_brand", F.lit(", sold as, "), "p_type", F.lit("] and ["), "p_type", F.lit(",in size ,"), F.col("p_size").cast("string"), F.lit("] [not a triple]\n[x, y, "), "p_brand").alias("t"))
+
+
+def _text_source(spark, d):
+    return _text(spark, d).select(F.explode(triples.parse_strict(F.col("t"))).alias("t")).select("t.*").distinct()
+
+
+def _nation_source(spark, d):
+    c, n = clinical.read(spark, d, "customer"), clinical.read(spark, d, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(F.lit("'"), "c_mktsegment").alias("head"), F.lit("buys in").alias("relation"), F.concat("n_name", F.lit("")).alias("tail")).distinct()
+
+
+def parse_triples_strict(spark, d):
+    return _text(spark, d).select("p_partkey", F.explode(triples.parse_strict(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+
+
+def parse_triples_loose(spark, d):
+    return _text(spark, d).select("p_partkey", F.explode(triples.parse_loose(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+
+
+def bracket_lines(spark, d):
+    return _text(spark, d).select("p_partkey", F.posexplode(triples.bracket_lines(F.col("t"))).alias("pos", "line"))
+
+
+def text_chunks(spark, d):
+    x = clinical.read(spark, d, "documents")
+    return x.select("doc_id", F.posexplode(triples.chunks(F.col("text"))).alias("pos", "piece")).select("doc_id", "pos", F.length("piece").alias("n"), F.md5("piece").alias("digest"))
+
+
+def refill(spark, d):
+    li, p = clinical.read(spark, d, "lineitem"), clinical.read(spark, d, "part")
+    return triples.needs_refill(li.select(F.col("l_partkey").alias("p_partkey")), p, "p_partkey", 30)
+
+
+def _sources(spark, d):
+    return {"graph": _graph_source(spark, d), "text": _text_source(spark, d), "nation": _nation_source(spark, d)}
+
+
+def combine_kg(spark, d):
+    return triples.combine(_sources(spark, d), "graph")
+
+
+def combine_kg_distinct(spark, d):
+    return triples.combine_distinct(_sources(spark, d)).withColumn("sources", F.array_join("sources", "|"))
+
+
+def attribute_triples(spark, d):
+    n = clinical.read(spark, d, "nation").select(F.col("n_name").alias("concept")).union(clinical.read(spark, d, "region").select("r_name"))
+    return triples.attribute(_graph_source(spark, d).distinct(), n)
+
+
+def _concepts(spark, d):
+    return clinical.read(spark, d, "nation").select(F.lower("n_name").alias("concept"))
+
+
+def first_hop(spark, d):
+    return triples.first_hop(_graph_source(spark, d), _concepts(spark, d))
+
+
+def second_hop_top3(spark, d):
+    return triples.second_hop(_graph_source(spark, d).distinct(), _concepts(spark, d))
+
+
+def concept_graph(spark, d):
+    exact = _graph_source(spark, d).distinct().withColumn("concept", F.lower("head"))
+    return triples.concept_graph(_concepts(spark, d), exact, _graph_source(spark, d).distinct(), _nation_source(spark, d).withColumn("concept", F.lower("tail")))
+
+
+def systematic_sample(spark, d):
+    return triples.systematic_sample(clinical.read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
+def kg_entities(spark, d):
+    return triples.entities(_graph_source(spark, d).unionByName(_text_source(spark, d)))
+
+
+def kg_relations(spark, d):
+    return triples.relations(_graph_source(spark, d).unionByName(_text_source(spark, d)))
+
+
+def rewrite_kg(spark, d):
+    n = clinical.read(spark, d, "nation")
+    m = n.select(F.col("n_name").alias("original"), F.concat(F.lit("nation of "), F.col("n_regionkey").cast("string")).alias("new"))
+    r = spark.createDataFrame([("PAR", "within"), ("RB", "within")], "original string, new string")
+    return triples.rewrite(_graph_source(spark, d), m, r)
+
+
+def preferred_terms(spark, d):
+    p = clinical.read(spark, d, "part")
+    terms = p.select(F.col("p_brand").alias("cui"), F.col("p_name").alias("term"), F.col("p_partkey").alias("ord"))
+    own = p.filter("p_size > 48").select(F.col("p_brand").alias("cui"), F.col("p_type").alias("name"))
+    rel = p.filter("p_size = 1 AND p_retailprice < 0").select(F.col("p_brand").alias("cui"), F.col("p_type").alias("name"))
+    return triples.preferred_term(terms, own, rel)
+
+
+def _edges(spark, d):
+    return _graph_source(spark, d).distinct()
+
+
+def bfs_subgraph(spark, d):
+    return graph.subgraph(_edges(spark, d), clinical.read(spark, d, "supplier").select(F.col("s_name").alias("root")), 1)
+
+
+def bfs_undirected(spark, d):
+    return graph.subgraph(_edges(spark, d), clinical.read(spark, d, "region").select(F.col("r_name").alias("root")), 2, inverse=True)
+
+
+def sampled_edges(spark, d):
+    return graph.sample_edges(graph.subgraph(_edges(spark, d), clinical.read(spark, d, "supplier").select(F.col("s_name").alias("root")), 1), "root", 5).select("root", "head", "relation", "tail")
+
+
+def _ends(spark, d):
+    s, n = clinical.read(spark, d, "supplier"), clinical.read(spark, d, "nation")
+    return s.filter("s_suppkey <= 20").select(F.col("s_name").alias("start")).crossJoin(n.filter("n_nationkey < 8").select(F.col("n_name").alias("end")))
+
+
+def khop_paths(spark, d):
+    return graph.paths(_edges(spark, d), _ends(spark, d), 3, 10).withColumn("path", F.array_join("path", " > "))
+
+
+def khop_paths_both_ends(spark, d):
+    return graph.paths_from_both_ends(_edges(spark, d), _ends(spark, d), 3, 10).withColumn("path", F.array_join("path", " > "))
+
+
+def path_triples(spark, d):
+    return graph.path_triples(graph.paths(_edges(spark, d), _ends(spark, d), 3, 10))
+
+
+def path_terms(spark, d):
+    t = clinical.read(spark, d, "nation").select(F.col("n_name").alias("node"), F.lower("n_name").alias("term"))
+    return graph.path_terms(graph.paths(_edges(spark, d), _ends(spark, d), 3, 10), t)
+
+
+def _kg(spark, d):
+    """Parts bought together in orders of one customer's priority: brands as nodes, the order's priority as relation."""
+    li, p, o = clinical.read(spark, d, "lineitem"), clinical.read(spark, d, "part"), clinical.read(spark, d, "orders")
+    x = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).filter("l_quantity >= 45").select("o_orderkey", "o_orderpriority", F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("n"))
+    y = x.select(F.col("o_orderkey").alias("k"), F.col("n").alias("m"))
+    return x.join(y, x.o_orderkey == y.k).filter("n < m").select(F.col("n").alias("head"), F.col("o_orderpriority").alias("relation"), F.col("m").alias("tail"), F.col("o_orderkey").alias("ord"))
+
+
+def undirected_kg(spark, d):
+    return graph.undirected(_kg(spark, d))
+
+
+def kg_components(spark, d):
+    return graph.components(undirected_kg(spark, d))
+
+
+def related_pairs(spark, d):
+    n = clinical.read(spark, d, "nation")
+    c = n.select(F.col("n_name").alias("concept"))
+    m = n.select(F.col("n_name").alias("partner"), F.col("n_regionkey").alias("k"))
+    rel = n.join(m, (n.n_regionkey == m.k) & (n.n_name != m.partner)).select(F.col("n_name").alias("concept"), "partner")
+    ids = n.filter("n_nationkey > 2").select(F.col("n_name").alias("concept"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("cui"), F.col("n_nationkey").alias("ord"))
+    return graph.related_pairs(c, rel, ids)
+
+
+def communities(spark, d):
+    return comm.communities(undirected_kg(spark, d), 10, (0, 1))
+
+
+def _partition(spark, d):
+    """A partition that SQL can make too: by brand."""
+    e = undirected_kg(spark, d)
+    n = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return e, n.select(F.lit(0).alias("run"), F.lit(0).alias("level"), F.split_part("node", F.lit("-"), F.lit(1)).alias("community"), "node")
+
+
+def community_triples(spark, d):
+    e, m = _partition(spark, d)
+    return graph.community_triples(m, e)
+
+
+def distinct_communities(spark, d):
+    e, m = _partition(spark, d)
+    again = m.withColumn("run", F.lit(1))
+    return graph.distinct_communities(graph.community_triples(m.unionByName(again), e))
+
+
+def modularity(spark, d):
+    e, m = _partition(spark, d)
+    return comm.modularity(e, m).select(F.round("modularity", 9).alias("modularity"))
+
+
+def repeated_communities(spark, d):
+    return comm.repeat_until(undirected_kg(spark, d), 100000, 10, 2)
+
+
+def community_summaries(spark, d):
+    from ..operators.providers import stub
+
+    e, m = _partition(spark, d)
+    return comm.summaries(graph.community_triples(m, e), stub)
+
+
+def community_nodes(spark, d):
+    from ..operators.providers import stub
+
+    e, m = _partition(spark, d)
+    t = graph.community_triples(m, e)
+    return comm.community_nodes(comm.summaries(t, stub), t).withColumn("nodes", F.array_join("nodes", "|"))
+
+
+_fns = (concept_sets, cooccurrence_counts, cooccurrence_topk, cooccurrence_union, near_dup_sets, near_dup_sets_all, parse_triples_strict, parse_triples_loose, bracket_lines, text_chunks, refill, combine_kg, combine_kg_distinct, attribute_triples, first_hop, second_hop_top3, concept_graph, systematic_sample, kg_entities, kg_relations, rewrite_kg, preferred_terms, bfs_subgraph, bfs_undirected, sampled_edges, khop_paths, khop_paths_both_ends, path_triples, path_terms, undirected_kg, kg_components, related_pairs, communities, community_triples, distinct_communities, modularity, repeated_communities, community_summaries, community_nodes)
+QUERIES = {f.__name__: f for f in _fns}
+
+_SETS = f"{_RET}, sets AS (SELECT visit_id, visit_key, (count(*) OVER (PARTITION BY patient_id) - sample_idx)::BIGINT AS weight, list_distinct(conditions || procedures || drugs) AS concepts FROM r)"
+_PAIRS = "pairs AS (SELECT a.c AS c1, b.c AS c2, sum(a.w)::BIGINT AS n FROM (SELECT k, w, unnest(concepts) AS c FROM s) a JOIN (SELECT k, unnest(concepts) AS c FROM s) b ON a.k = b.k AND a.c <> b.c GROUP BY ALL)"
+_TOP = lambda k: f"SELECT c1, c2, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY n DESC, c2) AS rank FROM pairs) z WHERE rank <= {k}"
+_REL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in triples.RELATIONS.items()) + ") AS rel(short, long)"
+_G = """g AS (SELECT s_name AS head, 'PAR' AS relation, n_name AS tail FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT n_name, 'RB', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'CHD', n_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+_T = "tx AS (SELECT DISTINCT p_brand AS head, 'sold as' AS relation, p_type AS tail FROM part)"
+_N = "nx AS (SELECT DISTINCT '''' || c_mktsegment AS head, 'buys in' AS relation, n_name AS tail FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+_Q = lambda c: f"CASE WHEN starts_with({c}, '''') OR ends_with({c}, '''') THEN substr({c}, 2, length({c}) - 2) ELSE {c} END"
+_ALL = f"{_G}, {_T}, {_N}, a AS (SELECT head, coalesce(long, relation) AS relation, tail, 'graph' AS source FROM g LEFT JOIN {_REL} ON relation = short UNION ALL SELECT *, 'text' FROM tx UNION ALL SELECT *, 'nation' FROM nx)"
+_HOP = f"{_G}, dg AS (SELECT DISTINCT * FROM g), con AS (SELECT lower(n_name) AS concept FROM nation), hop AS (SELECT concept, head, relation, tail FROM dg JOIN con ON lower(head) = concept OR lower(tail) = concept)"
+_SECOND = f"{_HOP}, ends AS (SELECT concept, e, count(*) AS f FROM (SELECT concept, unnest([lower(head), lower(tail)]) AS e FROM hop) q WHERE e <> concept GROUP BY ALL), sc AS (SELECT concept, head, relation, tail, sum(f)::BIGINT AS score FROM (SELECT *, unnest([lower(head), lower(tail)]) AS e FROM dg) q JOIN ends USING (e) GROUP BY ALL), top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, head || chr(9) || relation || chr(9) || tail DESC) AS i FROM sc) q WHERE i <= 3)"
+_BFS = f"RECURSIVE {_G}, dg AS (SELECT DISTINCT * FROM g)"
+_PATHS = f"WITH RECURSIVE {_G}, dg AS (SELECT DISTINCT * FROM g), en AS (SELECT s_name AS start, n_name AS \"end\" FROM supplier, nation WHERE s_suppkey <= 20 AND n_nationkey < 8), w AS (SELECT DISTINCT start, start AS at, [start] AS nodes, [start] AS path FROM en UNION ALL SELECT start, tail, nodes || [tail], path || [relation, tail] FROM w JOIN dg ON at = head WHERE len(nodes) <= 3 AND NOT list_contains(nodes, tail)), f AS (SELECT w.start, en.\"end\", path, row_number() OVER (PARTITION BY w.start, en.\"end\" ORDER BY len(path), array_to_string(path, chr(9))) AS i FROM w JOIN en ON w.start = en.start AND at = en.\"end\" WHERE len(path) > 1), pt AS (SELECT * FROM f WHERE i <= 10)"
+_KG = "x AS (SELECT o_orderkey, o_orderpriority, p_brand || '-' || p_size AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45), kg AS (SELECT a.n AS u, b.n AS v, arg_max(a.o_orderpriority, (a.o_orderkey, a.o_orderpriority)) AS relation FROM x a JOIN x b USING (o_orderkey) WHERE a.n < b.n GROUP BY 1, 2)"
+_CT = f"{_KG}, ct AS (SELECT 0 AS run, 0 AS level, split_part(u, '-', 1) AS community, u, relation, v FROM kg WHERE split_part(u, '-', 1) = split_part(v, '-', 1))"
+_SUBR = f"WITH {_G}, dg AS (SELECT DISTINCT * FROM g), l0 AS (SELECT DISTINCT head AS root, head, relation, tail FROM dg WHERE head IN (SELECT s_name FROM supplier)), l1 AS (SELECT DISTINCT root, dg.* FROM l0 JOIN dg ON l0.tail = dg.head WHERE l0.tail <> root), sub AS (SELECT root, head, relation, tail, min(level) AS level FROM (SELECT *, 0 AS level FROM l0 UNION ALL SELECT *, 1 FROM l1) q GROUP BY ALL)"
+ORACLE_SQL = {
+    "concept_sets": f"WITH {_V}, {_SETS} SELECT visit_id, weight, array_to_string(list_sort(concepts), '|') AS concepts FROM sets",
+    "cooccurrence_counts": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets), {_PAIRS} SELECT * FROM pairs",
+    "cooccurrence_topk": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets), {_PAIRS} {_TOP(20)}",
+    "cooccurrence_union": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets UNION ALL SELECT 'e' || event_id, 1, [event_type, props] FROM events), {_PAIRS} {_TOP(5)}",
+    "parse_triples_strict": "SELECT p_partkey, p_brand AS head, 'sold as' AS relation, p_type AS tail FROM part",
+    "parse_triples_loose": "SELECT p_partkey, p_brand AS head, 'sold as' AS relation, p_type AS tail FROM part UNION ALL SELECT p_partkey, p_type, 'in size', CAST(p_size AS VARCHAR) FROM part",
+    "bracket_lines": "SELECT p_partkey, 0 AS pos, p_brand || chr(9) || 'sold as' || chr(9) || p_type AS line FROM part UNION ALL SELECT p_partkey, 1, p_type || ',in size ,' || p_size FROM part UNION ALL SELECT p_partkey, 2, 'not a triple' FROM part",
+    "text_chunks": "SELECT doc_id, pos::INT AS pos, length(p)::INT AS n, md5(p) AS digest FROM (SELECT doc_id, pos, substr(text, pos * 800 + 1, 800) AS p FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 799) // 800)) AS pos FROM documents) q) z",
+    "refill": "SELECT p_partkey, count(l_partkey) AS n_lines FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(l_partkey) < 30",
+    "combine_kg": f"WITH {_ALL} SELECT {', '.join(f'lower({_Q(c)}) AS {c}' for c in ('head', 'relation', 'tail'))}, source FROM a",
+    "combine_kg_distinct": f"WITH {_G}, {_T}, {_N}, a AS (SELECT *, 'graph' AS source FROM g UNION ALL SELECT *, 'text' FROM tx UNION ALL SELECT *, 'nation' FROM nx), e AS (SELECT head, coalesce(long, relation) AS relation, tail, source FROM a LEFT JOIN {_REL} ON relation = short) SELECT lower(head) AS head, lower(relation) AS relation, lower(tail) AS tail, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM e GROUP BY e.head, e.relation, e.tail",
+    "attribute_triples": f"WITH {_G}, c AS (SELECT n_name AS concept FROM nation UNION SELECT r_name FROM region), m AS (SELECT DISTINCT head, relation, tail, concept FROM g JOIN c ON contains(head, concept) OR contains(tail, concept)) SELECT head, relation, tail, arg_min(concept, (-length(concept), concept)) AS concept FROM m GROUP BY head, relation, tail",
+    "first_hop": f"WITH {_G}, con AS (SELECT lower(n_name) AS concept FROM nation) SELECT concept, head, relation, tail FROM g JOIN con ON lower(head) = concept OR lower(tail) = concept",
+    "second_hop_top3": f"WITH {_SECOND} SELECT concept, head, relation, tail, score FROM top3",
+    "concept_graph": f"WITH {_SECOND}, {_N} SELECT lower(head) AS concept, head, relation, tail, 'exact a' AS part FROM dg WHERE lower(head) IN (SELECT concept FROM con) UNION ALL SELECT *, 'hop 1' FROM hop UNION ALL SELECT concept, head, relation, tail, 'hop 2' FROM top3 UNION ALL SELECT lower(tail), head, relation, tail, 'exact b' FROM nx",
+    "systematic_sample": "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) q WHERE r % 6 = 0",
+    "kg_entities": f"WITH {_G}, {_T} SELECT head AS entity FROM g UNION SELECT tail FROM g UNION SELECT head FROM tx UNION SELECT tail FROM tx",
+    "kg_relations": f"WITH {_G}, {_T} SELECT relation FROM g UNION SELECT relation FROM tx",
+    "rewrite_kg": f"WITH {_G} SELECT DISTINCT coalesce('nation of ' || a.n_regionkey, head) AS head, CASE WHEN relation IN ('PAR', 'RB') THEN 'within' ELSE relation END AS relation, coalesce('nation of ' || b.n_regionkey, tail) AS tail FROM g LEFT JOIN nation a ON head = a.n_name LEFT JOIN nation b ON tail = b.n_name",
+    "preferred_terms": "SELECT p_brand AS cui, coalesce(min(p_type) FILTER (p_size > 48), arg_min(p_name, p_partkey) FILTER (regexp_matches(p_name, '^[\\x20-\\x7e]+$') AND regexp_matches(p_name, '(?i)[aeiouy]'))) AS term FROM part GROUP BY 1 HAVING term IS NOT NULL",
+    "bfs_subgraph": f"{_SUBR} SELECT * FROM sub",
+    "sampled_edges": f"{_SUBR} SELECT root, head, relation, tail FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5('1' || chr(9) || head || chr(9) || relation || chr(9) || tail), head, relation, tail) AS i FROM sub) q WHERE i <= 5",
+    "bfs_undirected": f"""WITH {_G}, dg AS (SELECT DISTINCT * FROM g), e AS (SELECT *, head AS at, tail AS "to" FROM dg UNION ALL SELECT *, tail, head FROM dg), d0 AS (SELECT r_name AS root, r_name AS at, 0 AS level FROM region),
+d1 AS (SELECT DISTINCT root, "to" AS at, 1 AS level FROM d0 JOIN e USING (at) WHERE "to" <> root), d2 AS (SELECT DISTINCT root, "to" AS at, 2 AS level FROM d1 JOIN e USING (at) WHERE (root, "to") NOT IN (SELECT (root, at) FROM d0 UNION ALL SELECT (root, at) FROM d1)),
+d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) SELECT root, head, relation, tail, min(level) AS level FROM d JOIN e USING (at) GROUP BY ALL""",
+    "khop_paths": f"{_PATHS} SELECT start, \"end\", array_to_string(path, ' > ') AS path FROM pt",
+    "khop_paths_both_ends": f"{_PATHS} SELECT start, \"end\", array_to_string(path, ' > ') AS path FROM pt",
+    "path_triples": f"{_PATHS} SELECT DISTINCT start, path[k] AS head, path[k + 1] AS relation, path[k + 2] AS tail FROM (SELECT start, path, unnest(range(1, len(path) - 1, 2)) AS k FROM pt) q",
+    "path_terms": f"{_PATHS}, p2 AS (SELECT start, \"end\", path, unnest(path) AS item, generate_subscripts(path, 1) AS i FROM pt) SELECT start, \"end\", string_agg(CASE WHEN i % 2 = 1 AND n_name IS NOT NULL THEN lower(n_name) ELSE item END, ' -> ' ORDER BY i) AS text FROM p2 LEFT JOIN nation ON item = n_name GROUP BY start, \"end\", path",
+    "undirected_kg": f"WITH {_KG} SELECT * FROM kg",
+    "kg_components": f"WITH RECURSIVE {_KG}, e AS (SELECT u AS a, v AS b FROM kg UNION SELECT v, u FROM kg), reach AS (SELECT a AS node, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.node = e.a) SELECT node, min(r) AS component FROM reach GROUP BY 1",
+    "related_pairs": "SELECT DISTINCT a.n_name AS concept, 'C' || a.n_nationkey AS start, 'C' || b.n_nationkey AS \"end\" FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name WHERE a.n_nationkey > 2 AND b.n_nationkey > 2",
+    "community_triples": f"WITH {_CT} SELECT * FROM ct",
+    "distinct_communities": f"WITH {_CT}, gg AS (SELECT run, level, community, md5(string_agg(DISTINCT t, chr(10) ORDER BY t)) AS digest, count(*) AS n_triples FROM (SELECT *, array_to_string(list_sort([u, relation, v]), chr(9)) AS t FROM ct) q GROUP BY ALL) SELECT run, level, community, digest, n_triples FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY run, level, community) AS i FROM gg) q WHERE i = 1",
+    "modularity": f"WITH {_CT}, dg AS (SELECT split_part(n, '-', 1) AS community, count(*) AS t FROM (SELECT u AS n FROM kg UNION ALL SELECT v FROM kg) q GROUP BY 1), m AS (SELECT count(*) AS m FROM kg), i AS (SELECT community, count(*) AS e FROM ct GROUP BY 1) SELECT round(sum(coalesce(e, 0) / m - pow(t / (2 * m), 2)), 9) AS modularity FROM dg LEFT JOIN i USING (community), m",
+    "community_nodes": f"WITH {_CT}, big AS (SELECT community FROM ct GROUP BY 1 HAVING count(*) <= 150) SELECT run, level, community, string_agg(DISTINCT n, '|' ORDER BY n) AS nodes FROM (SELECT run, level, community, unnest([u, v]) AS n FROM ct WHERE community IN (SELECT community FROM big)) q GROUP BY ALL",
+}
