@@ -90,12 +90,12 @@ def _ordered(spark, d):
 
 
 def balanced_cohort(spark, d):
-    return ehr.balanced_cohort(_ordered(spark, d), most_positive=200, most=500)
+    return ehr.balanced_cohort(_ordered(spark, d))
 
 
 def cohort_samples(spark, d):
     s = _ordered(spark, d)
-    return ehr.restrict(s, ehr.balanced_cohort(s, most_positive=200, most=500)).select("patient_id", "sample_id", "label")
+    return ehr.restrict(s, ehr.balanced_cohort(s)).select("patient_id", "sample_id", "label")
 
 
 def patient_split(spark, d):
@@ -128,9 +128,9 @@ def _los(expr):
 
 _COH = f"""{_RET}, o AS (SELECT patient_key, patient_id, patient_id || '_' || sample_idx AS sample_id, sample_idx, label FROM r),
 ok AS (SELECT *, row_number() OVER (PARTITION BY patient_id, label ORDER BY sample_idx) AS i FROM o WHERE sample_idx + 1 <= 9),
-pos AS (SELECT * FROM ok WHERE label = 1 AND i = 1 ORDER BY patient_key, sample_idx LIMIT 200),
+pos AS (SELECT * FROM ok WHERE label = 1 AND i = 1 ORDER BY patient_key, sample_idx LIMIT 5000),
 neg AS (SELECT *, row_number() OVER (ORDER BY patient_key, sample_idx) AS k FROM ok WHERE label = 0 AND i = 1 AND patient_id NOT IN (SELECT patient_id FROM pos)),
-coh AS (SELECT patient_id, sample_id, label FROM pos UNION ALL SELECT patient_id, sample_id, label FROM neg WHERE k <= 500 - (SELECT count(*) FROM pos))"""
+coh AS (SELECT patient_id, sample_id, label FROM pos UNION ALL SELECT patient_id, sample_id, label FROM neg WHERE k <= 10000 - (SELECT count(*) FROM pos))"""
 
 
 def _split(column, seed, train=1.0):

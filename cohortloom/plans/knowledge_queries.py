@@ -38,12 +38,12 @@ def cooccurrence_union(spark, d):
     """Visits and events (type and property) as two datasets' sets in one count."""
     e = clinical.read(spark, d, "events").select(F.array("event_type", "props").alias("concepts"), F.lit(1).cast("bigint").alias("weight"))
     both = _visit_sets(spark, d).select("concepts", F.col("weight").cast("bigint")).unionByName(e)
-    return cooccurrence.top_partners(cooccurrence.pair_counts(both, "weight"), 5)
+    return cooccurrence.top_partners(cooccurrence.pair_counts(both, "weight"))
 
 
 def near_dup_sets(spark, d):
     """Sets of the visits' concepts; not SQL: a greedy scan."""
-    s = _visit_sets(spark, d).select(F.col("visit_key").alias("ord"), "concepts").filter(F.size("concepts") > 10)
+    s = _visit_sets(spark, d).select(F.col("visit_key").alias("ord"), "concepts")
     return cooccurrence.near_duplicate_filter(s, 5, 10).select("ord", F.size("concepts").alias("n_concepts"))
 
 
@@ -171,12 +171,12 @@ def bfs_undirected(spark, d):
 
 
 def sampled_edges(spark, d):
-    return graph.sample_edges(graph.subgraph(_edges(spark, d), clinical.read(spark, d, "supplier").select(F.col("s_name").alias("root")), 1), "root", 5).select("root", "head", "relation", "tail")
+    return graph.sample_edges(graph.subgraph(_edges(spark, d), clinical.read(spark, d, "supplier").select(F.col("s_name").alias("root")), 1), "root").select("root", "head", "relation", "tail")
 
 
 def _ends(spark, d):
     s, n = clinical.read(spark, d, "supplier"), clinical.read(spark, d, "nation")
-    return s.filter("s_suppkey <= 20").select(F.col("s_name").alias("start")).crossJoin(n.filter("n_nationkey < 8").select(F.col("n_name").alias("end")))
+    return s.select(F.col("s_name").alias("start")).crossJoin(n.select(F.col("n_name").alias("end")))
 
 
 def khop_paths(spark, d):
@@ -197,9 +197,9 @@ def path_terms(spark, d):
 
 
 def _kg(spark, d):
-    """Parts bought together in orders of one customer's priority: brands as nodes, the order's priority as relation."""
+    """Parts of one order as neighbours, the order's priority as their relation; a node is type-brand-part."""
     li, p, o = clinical.read(spark, d, "lineitem"), clinical.read(spark, d, "part"), clinical.read(spark, d, "orders")
-    x = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).filter("l_quantity >= 45").select("o_orderkey", "o_orderpriority", F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("n"))
+    x = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).select("o_orderkey", "o_orderpriority", F.concat_ws("-", "p_type", "p_brand", F.col("p_partkey").cast("string")).alias("n"))
     y = x.select(F.col("o_orderkey").alias("k"), F.col("n").alias("m"))
     return x.join(y, x.o_orderkey == y.k).filter("n < m").select(F.col("n").alias("head"), F.col("o_orderpriority").alias("relation"), F.col("m").alias("tail"), F.col("o_orderkey").alias("ord"))
 
@@ -209,7 +209,7 @@ def undirected_kg(spark, d):
 
 
 def kg_components(spark, d):
-    return graph.components(undirected_kg(spark, d))
+    return graph.components(_edges(spark, d).select(F.col("head").alias("u"), F.col("tail").alias("v")))
 
 
 def related_pairs(spark, d):
@@ -217,7 +217,7 @@ def related_pairs(spark, d):
     c = n.select(F.col("n_name").alias("concept"))
     m = n.select(F.col("n_name").alias("partner"), F.col("n_regionkey").alias("k"))
     rel = n.join(m, (n.n_regionkey == m.k) & (n.n_name != m.partner)).select(F.col("n_name").alias("concept"), "partner")
-    ids = n.filter("n_nationkey > 2").select(F.col("n_name").alias("concept"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("cui"), F.col("n_nationkey").alias("ord"))
+    ids = n.select(F.col("n_name").alias("concept"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("cui"), F.col("n_nationkey").alias("ord"))
     return graph.related_pairs(c, rel, ids)
 
 
@@ -226,10 +226,10 @@ def communities(spark, d):
 
 
 def _partition(spark, d):
-    """A partition that SQL can make too: by brand."""
+    """A partition that SQL can make too: by type and brand."""
     e = undirected_kg(spark, d)
     n = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return e, n.select(F.lit(0).alias("run"), F.lit(0).alias("level"), F.split_part("node", F.lit("-"), F.lit(1)).alias("community"), "node")
+    return e, n.select(F.lit(0).alias("run"), F.lit(0).alias("level"), F.substring_index("node", "-", 2).alias("community"), "node")
 
 
 def community_triples(spark, d):
@@ -283,15 +283,15 @@ _ALL = f"{_G}, {_T}, {_N}, a AS (SELECT head, coalesce(long, relation) AS relati
 _HOP = f"{_G}, dg AS (SELECT DISTINCT * FROM g), con AS (SELECT lower(n_name) AS concept FROM nation), hop AS (SELECT concept, head, relation, tail FROM dg JOIN con ON lower(head) = concept OR lower(tail) = concept)"
 _SECOND = f"{_HOP}, ends AS (SELECT concept, e, count(*) AS f FROM (SELECT concept, unnest([lower(head), lower(tail)]) AS e FROM hop) q WHERE e <> concept GROUP BY ALL), sc AS (SELECT concept, head, relation, tail, sum(f)::BIGINT AS score FROM (SELECT *, unnest([lower(head), lower(tail)]) AS e FROM dg) q JOIN ends USING (e) GROUP BY ALL), top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, head || chr(9) || relation || chr(9) || tail DESC) AS i FROM sc) q WHERE i <= 3)"
 _BFS = f"RECURSIVE {_G}, dg AS (SELECT DISTINCT * FROM g)"
-_PATHS = f"WITH RECURSIVE {_G}, dg AS (SELECT DISTINCT * FROM g), en AS (SELECT s_name AS start, n_name AS \"end\" FROM supplier, nation WHERE s_suppkey <= 20 AND n_nationkey < 8), w AS (SELECT DISTINCT start, start AS at, [start] AS nodes, [start] AS path FROM en UNION ALL SELECT start, tail, nodes || [tail], path || [relation, tail] FROM w JOIN dg ON at = head WHERE len(nodes) <= 3 AND NOT list_contains(nodes, tail)), f AS (SELECT w.start, en.\"end\", path, row_number() OVER (PARTITION BY w.start, en.\"end\" ORDER BY len(path), array_to_string(path, chr(9))) AS i FROM w JOIN en ON w.start = en.start AND at = en.\"end\" WHERE len(path) > 1), pt AS (SELECT * FROM f WHERE i <= 10)"
-_KG = "x AS (SELECT o_orderkey, o_orderpriority, p_brand || '-' || p_size AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45), kg AS (SELECT a.n AS u, b.n AS v, arg_max(a.o_orderpriority, (a.o_orderkey, a.o_orderpriority)) AS relation FROM x a JOIN x b USING (o_orderkey) WHERE a.n < b.n GROUP BY 1, 2)"
-_CT = f"{_KG}, ct AS (SELECT 0 AS run, 0 AS level, split_part(u, '-', 1) AS community, u, relation, v FROM kg WHERE split_part(u, '-', 1) = split_part(v, '-', 1))"
+_PATHS = f"WITH RECURSIVE {_G}, dg AS (SELECT DISTINCT * FROM g), en AS (SELECT s_name AS start, n_name AS \"end\" FROM supplier, nation), w AS (SELECT DISTINCT start, start AS cur, [start] AS nodes, [start] AS path FROM en UNION ALL SELECT start, tail, nodes || [tail], path || [relation, tail] FROM w JOIN dg ON cur = head WHERE len(nodes) <= 3 AND NOT list_contains(nodes, tail)), f AS (SELECT w.start, en.\"end\", path, row_number() OVER (PARTITION BY w.start, en.\"end\" ORDER BY len(path), array_to_string(path, chr(9))) AS i FROM w JOIN en ON w.start = en.start AND cur = en.\"end\" WHERE len(path) > 1), pt AS (SELECT * FROM f WHERE i <= 10)"
+_KG = "x AS (SELECT o_orderkey, o_orderpriority, p_type || '-' || p_brand || '-' || p_partkey AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), kg AS (SELECT a.n AS u, b.n AS v, arg_max(a.o_orderpriority, (a.o_orderkey, a.o_orderpriority)) AS relation FROM x a JOIN x b USING (o_orderkey) WHERE a.n < b.n GROUP BY 1, 2)"
+_CT = f"{_KG}, ct AS (SELECT 0 AS run, 0 AS level, split_part(u, '-', 1) || '-' || split_part(u, '-', 2) AS community, u, relation, v FROM kg WHERE split_part(u, '-', 1) || '-' || split_part(u, '-', 2) = split_part(v, '-', 1) || '-' || split_part(v, '-', 2))"
 _SUBR = f"WITH {_G}, dg AS (SELECT DISTINCT * FROM g), l0 AS (SELECT DISTINCT head AS root, head, relation, tail FROM dg WHERE head IN (SELECT s_name FROM supplier)), l1 AS (SELECT DISTINCT root, dg.* FROM l0 JOIN dg ON l0.tail = dg.head WHERE l0.tail <> root), sub AS (SELECT root, head, relation, tail, min(level) AS level FROM (SELECT *, 0 AS level FROM l0 UNION ALL SELECT *, 1 FROM l1) q GROUP BY ALL)"
 ORACLE_SQL = {
     "concept_sets": f"WITH {_V}, {_SETS} SELECT visit_id, weight, array_to_string(list_sort(concepts), '|') AS concepts FROM sets",
     "cooccurrence_counts": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets), {_PAIRS} SELECT * FROM pairs",
     "cooccurrence_topk": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets), {_PAIRS} {_TOP(20)}",
-    "cooccurrence_union": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets UNION ALL SELECT 'e' || event_id, 1, [event_type, props] FROM events), {_PAIRS} {_TOP(5)}",
+    "cooccurrence_union": f"WITH {_V}, {_SETS}, s AS (SELECT visit_id AS k, weight AS w, concepts FROM sets UNION ALL SELECT 'e' || event_id, 1, [event_type, props] FROM events), {_PAIRS} {_TOP(20)}",
     "parse_triples_strict": "SELECT p_partkey, p_brand AS head, 'sold as' AS relation, p_type AS tail FROM part",
     "parse_triples_loose": "SELECT p_partkey, p_brand AS head, 'sold as' AS relation, p_type AS tail FROM part UNION ALL SELECT p_partkey, p_type, 'in size', CAST(p_size AS VARCHAR) FROM part",
     "bracket_lines": "SELECT p_partkey, 0 AS pos, p_brand || chr(9) || 'sold as' || chr(9) || p_type AS line FROM part UNION ALL SELECT p_partkey, 1, p_type || ',in size ,' || p_size FROM part UNION ALL SELECT p_partkey, 2, 'not a triple' FROM part",
@@ -309,19 +309,19 @@ ORACLE_SQL = {
     "rewrite_kg": f"WITH {_G} SELECT DISTINCT coalesce('nation of ' || a.n_regionkey, head) AS head, CASE WHEN relation IN ('PAR', 'RB') THEN 'within' ELSE relation END AS relation, coalesce('nation of ' || b.n_regionkey, tail) AS tail FROM g LEFT JOIN nation a ON head = a.n_name LEFT JOIN nation b ON tail = b.n_name",
     "preferred_terms": "SELECT p_brand AS cui, coalesce(min(p_type) FILTER (p_size > 48), arg_min(p_name, p_partkey) FILTER (regexp_matches(p_name, '^[\\x20-\\x7e]+$') AND regexp_matches(p_name, '(?i)[aeiouy]'))) AS term FROM part GROUP BY 1 HAVING term IS NOT NULL",
     "bfs_subgraph": f"{_SUBR} SELECT * FROM sub",
-    "sampled_edges": f"{_SUBR} SELECT root, head, relation, tail FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5('1' || chr(9) || head || chr(9) || relation || chr(9) || tail), head, relation, tail) AS i FROM sub) q WHERE i <= 5",
-    "bfs_undirected": f"""WITH {_G}, dg AS (SELECT DISTINCT * FROM g), e AS (SELECT *, head AS at, tail AS "to" FROM dg UNION ALL SELECT *, tail, head FROM dg), d0 AS (SELECT r_name AS root, r_name AS at, 0 AS level FROM region),
-d1 AS (SELECT DISTINCT root, "to" AS at, 1 AS level FROM d0 JOIN e USING (at) WHERE "to" <> root), d2 AS (SELECT DISTINCT root, "to" AS at, 2 AS level FROM d1 JOIN e USING (at) WHERE (root, "to") NOT IN (SELECT (root, at) FROM d0 UNION ALL SELECT (root, at) FROM d1)),
-d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) SELECT root, head, relation, tail, min(level) AS level FROM d JOIN e USING (at) GROUP BY ALL""",
+    "sampled_edges": f"{_SUBR} SELECT root, head, relation, tail FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5('1' || chr(9) || head || chr(9) || relation || chr(9) || tail), head, relation, tail) AS i FROM sub) q WHERE i <= 200",
+    "bfs_undirected": f"""WITH {_G}, dg AS (SELECT DISTINCT * FROM g), e AS (SELECT *, head AS cur, tail AS "to" FROM dg UNION ALL SELECT *, tail, head FROM dg), d0 AS (SELECT r_name AS root, r_name AS cur, 0 AS level FROM region),
+d1 AS (SELECT DISTINCT root, "to" AS cur, 1 AS level FROM d0 JOIN e USING (cur) WHERE "to" <> root), d2 AS (SELECT DISTINCT root, "to" AS cur, 2 AS level FROM d1 JOIN e USING (cur) WHERE (root, "to") NOT IN (SELECT (root, cur) FROM d0 UNION ALL SELECT (root, cur) FROM d1)),
+d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2) SELECT root, head, relation, tail, min(level) AS level FROM d JOIN e USING (cur) GROUP BY ALL""",
     "khop_paths": f"{_PATHS} SELECT start, \"end\", array_to_string(path, ' > ') AS path FROM pt",
     "khop_paths_both_ends": f"{_PATHS} SELECT start, \"end\", array_to_string(path, ' > ') AS path FROM pt",
     "path_triples": f"{_PATHS} SELECT DISTINCT start, path[k] AS head, path[k + 1] AS relation, path[k + 2] AS tail FROM (SELECT start, path, unnest(range(1, len(path) - 1, 2)) AS k FROM pt) q",
     "path_terms": f"{_PATHS}, p2 AS (SELECT start, \"end\", path, unnest(path) AS item, generate_subscripts(path, 1) AS i FROM pt) SELECT start, \"end\", string_agg(CASE WHEN i % 2 = 1 AND n_name IS NOT NULL THEN lower(n_name) ELSE item END, ' -> ' ORDER BY i) AS text FROM p2 LEFT JOIN nation ON item = n_name GROUP BY start, \"end\", path",
     "undirected_kg": f"WITH {_KG} SELECT * FROM kg",
-    "kg_components": f"WITH RECURSIVE {_KG}, e AS (SELECT u AS a, v AS b FROM kg UNION SELECT v, u FROM kg), reach AS (SELECT a AS node, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.node = e.a) SELECT node, min(r) AS component FROM reach GROUP BY 1",
-    "related_pairs": "SELECT DISTINCT a.n_name AS concept, 'C' || a.n_nationkey AS start, 'C' || b.n_nationkey AS \"end\" FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name WHERE a.n_nationkey > 2 AND b.n_nationkey > 2",
+    "kg_components": f"WITH RECURSIVE {_G}, e AS (SELECT head AS a, tail AS b FROM g UNION SELECT tail, head FROM g), reach AS (SELECT a AS node, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.node = e.a) SELECT node, min(r) AS component FROM reach GROUP BY 1",
+    "related_pairs": "SELECT DISTINCT a.n_name AS concept, 'C' || a.n_nationkey AS start, 'C' || b.n_nationkey AS \"end\" FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name",
     "community_triples": f"WITH {_CT} SELECT * FROM ct",
     "distinct_communities": f"WITH {_CT}, gg AS (SELECT run, level, community, md5(string_agg(DISTINCT t, chr(10) ORDER BY t)) AS digest, count(*) AS n_triples FROM (SELECT *, array_to_string(list_sort([u, relation, v]), chr(9)) AS t FROM ct) q GROUP BY ALL) SELECT run, level, community, digest, n_triples FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY run, level, community) AS i FROM gg) q WHERE i = 1",
-    "modularity": f"WITH {_CT}, dg AS (SELECT split_part(n, '-', 1) AS community, count(*) AS t FROM (SELECT u AS n FROM kg UNION ALL SELECT v FROM kg) q GROUP BY 1), m AS (SELECT count(*) AS m FROM kg), i AS (SELECT community, count(*) AS e FROM ct GROUP BY 1) SELECT round(sum(coalesce(e, 0) / m - pow(t / (2 * m), 2)), 9) AS modularity FROM dg LEFT JOIN i USING (community), m",
+    "modularity": f"WITH {_CT}, dg AS (SELECT split_part(n, '-', 1) || '-' || split_part(n, '-', 2) AS community, count(*) AS t FROM (SELECT u AS n FROM kg UNION ALL SELECT v FROM kg) q GROUP BY 1), m AS (SELECT count(*) AS m FROM kg), i AS (SELECT community, count(*) AS e FROM ct GROUP BY 1) SELECT round(sum(coalesce(e, 0) / m - pow(t / (2 * m), 2)), 9) AS modularity FROM dg LEFT JOIN i USING (community), m",
     "community_nodes": f"WITH {_CT}, big AS (SELECT community FROM ct GROUP BY 1 HAVING count(*) <= 150) SELECT run, level, community, string_agg(DISTINCT n, '|' ORDER BY n) AS nodes FROM (SELECT run, level, community, unnest([u, v]) AS n FROM ct WHERE community IN (SELECT community FROM big)) q GROUP BY ALL",
 }
