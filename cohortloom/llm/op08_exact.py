@@ -96,19 +96,22 @@ def _chunks(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * COMPARE + 1, F.lit(COMPARE)))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __th, first_id, first_th, n) for all rows of groups of equal texts of two rows or more; n: rows of this key."""
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62) -> DataFrame:
+    """(__id, __th, first_id, first_th, n) for all rows of groups of equal texts of two rows or more; n: rows of this key.
+
+    bits: how many of the fingerprint are looked at; fewer mean more candidates to compare, never another result.
+    """
     spark = docs.sparkSession
+    part = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("fp")
     key = ["fp", "n_bytes"]
-    groups, _ = common.materialize(fingerprinted(docs, id_col, text_col).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "equal-fingerprints")
-    found = fingerprinted(docs, id_col, text_col, with_text=True).join(groups, key)
+    groups, _ = common.materialize(fingerprinted(docs, id_col, text_col).select(part, "n_bytes").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "equal-fingerprints")
+    found = fingerprinted(docs, id_col, text_col, with_text=True).withColumn("fp", part).join(groups, key)
     pieces = found.select(*key, "__id", "__th", F.posexplode(_chunks(F.col("__text"))).alias("k", "piece"))
     pieces, old = common.materialize(pieces, "candidate-pieces")
     todo, done = pieces, []
     while True:
         first = todo.groupBy(*key).agg(F.min(F.struct("__id", "__th")).alias("first"))
         marked = todo.join(first, key)
-        is_first = F.struct("__id", "__th") == F.col("first")
         is_first = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__th") == F.col("first.__th"))
         heads = marked.filter(is_first).groupBy(*key, "k").agg(F.first("piece").alias("head"))
         seen = marked.join(heads, [*key, "k"], "left").groupBy(*key, "__id", "__th").agg(
