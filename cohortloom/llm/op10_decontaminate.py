@@ -174,11 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _contaminated_by_shuffle(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """contaminated() for an item side of any size, all by joins on n-grams."""
     w = rows.select("__id", "__th", F.split("__text", " ").alias("w")).withColumn("length", F.size("w"))
-    gram = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.cast("long").alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
-    every = F.concat(*[F.when(F.size("w") >= n, F.transform(gram(n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g["pos"].alias("pos"), g["gram"].alias("gram")))).otherwise(F.array().cast("array<struct<n:int,pos:bigint,gram:string>>")) for n in range(1, N + 1)])
+    kind = "array<struct<n:int,pos:bigint,gram:string>>"
+    gram = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
+    every = F.concat(*[F.when(F.size("w") >= n, gram(n)).otherwise(F.array().cast(kind)) for n in range(1, N + 1)])
     occ = w.select("__id", "__th", "length", F.explode(every).alias("o")).select("__id", "__th", "length", "o.*")
-    parts = grams.select(F.monotonically_increasing_id().alias("iid"), "item", "n", "size", F.size("grams").alias("total"), F.explode("grams").alias("gram"))
-    parts, _ = common.materialize(parts, "item-grams")
+    numbered, _ = common.materialize(grams.withColumn("iid", F.monotonically_increasing_id()), "items")
+    parts = numbered.select("iid", "item", "n", "size", F.size("grams").alias("total"), F.explode("grams").alias("gram"))
     df = occ.join(parts.select("n", "gram").distinct(), ["n", "gram"]).select("n", "gram", "__id", "__th").distinct().groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
     need = F.greatest(F.lit(1), F.ceil(F.lit(int(round(threshold * 1e6))) * F.col("total") / 1_000_000))
     ranked = parts.join(df, ["n", "gram"], "left").withColumn("need", need).withColumn("rank", F.row_number().over(Window.partitionBy("iid").orderBy(F.coalesce("df", F.lit(0)), "gram")))
