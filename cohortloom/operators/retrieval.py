@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from . import vectors
+from . import tables, vectors
 
 NONE = "None"
 
@@ -123,7 +123,7 @@ def greedy(direct: dict, indirect: set, comms: dict, closeness: dict, theme: dic
             h = len(d) / len(direct) if direct else 0.0
             h += 0.8 * (len(i) / len(indirect) if indirect else 0.0)
             decay = 1.0
-            for n in d + i:
+            for n in nodes:
                 decay *= 0.5 ** hits.get(n, 0)
             seen = [recency.get(n, 0) for n in d]
             s = h * decay * (1 + 0.1 * closeness.get(c, 0.0)) * (1 + 0.1 * (sum(seen) / len(seen)) if seen else 1.0) * theme.get(c, 1.0)
@@ -142,14 +142,17 @@ def greedy(direct: dict, indirect: set, comms: dict, closeness: dict, theme: dic
 def greedy_retrieval(nodes: DataFrame, members: DataFrame, vecs_p: DataFrame, vecs_c: DataFrame, themes: DataFrame, visits: DataFrame | None = None, rounds: int = 10) -> DataFrame:
     """(sample_id, round, community, score) by greedy rounds for each patient.
 
-    Score: (share of direct nodes hit + 0.8 * of indirect ones) * 0.5 ^ (times its nodes were taken already) * (1 + 0.1 *
-    inner product with the context) * (1 + 0.1 * mean visit of the direct nodes hit) * theme; ties to the first community.
-    Only communities that share a node with the patient are sent to its task, with their shared nodes only.
+    Score: (share of direct nodes hit + 0.8 * of indirect ones) * 0.5 ^ (times its nodes, met or not, were taken already) * (1 +
+    0.1 * inner product with the context) * (1 + 0.1 * mean visit of the direct nodes hit) * theme; ties to the first community.
+    Only communities that share a node with the patient are sent to its task; all others score 0 and fill its last
+    rounds in their order. A share of an empty node set is 0.
     """
-    shared = nodes.join(members, "node").select("sample_id", "community", "node", "kind")
+    members = members.select("community", "node").distinct()
+    met = nodes.join(members, "node").select("sample_id", "community").distinct()
+    shared = met.join(members, "community").join(nodes.select("sample_id", "node", "kind").distinct(), ["sample_id", "node"], "left")
     dot = F.aggregate(F.zip_with("vp", "vc", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     t = theme_factor(vecs_c, themes)
-    pc = shared.select("sample_id", "community").distinct().join(vecs_p.select("sample_id", F.col("vec").alias("vp")), "sample_id").join(vecs_c.select("community", F.col("vec").alias("vc")), "community").join(t, "community").select("sample_id", "community", dot.alias("close"), "theme")
+    pc = met.join(vecs_p.select("sample_id", F.col("vec").alias("vp")), "sample_id").join(vecs_c.select("community", F.col("vec").alias("vc")), "community").join(t, "community").select("sample_id", "community", dot.alias("close"), "theme")
     sizes = nodes.groupBy("sample_id").agg(F.count_if(F.col("kind") == "direct").alias("nd"), F.count_if(F.col("kind") == "indirect").alias("ni"))
     rows = shared.join(pc, ["sample_id", "community"]).join(sizes, "sample_id")
     if visits is not None:
@@ -170,6 +173,13 @@ def greedy_retrieval(nodes: DataFrame, members: DataFrame, vecs_p: DataFrame, ve
         return pd.DataFrame([(pdf["sample_id"].iloc[0], *g) for g in got], columns=["sample_id", "round", "community", "score"])
 
     schema = T.StructType([T.StructField("sample_id", kind_s), T.StructField("round", T.IntegerType()), T.StructField("community", kind_c), T.StructField("score", T.DoubleType())])
-    return rows.groupBy("sample_id").applyInPandas(work, schema)
+    got, _ = tables.materialize(rows.groupBy("sample_id").applyInPandas(work, schema), "greedy")
+    # who has fewer than the rounds gets the first of the other communities; each has met at most as many as it has, so twice the rounds are enough
+    first = members.select("community").distinct().orderBy("community").limit(2 * rounds)
+    have = got.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    few = nodes.select("sample_id").distinct().join(have, "sample_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < rounds)
+    rest = few.crossJoin(first).join(got.select("sample_id", "community"), ["sample_id", "community"], "left_anti")
+    rest = rest.withColumn("i", F.row_number().over(Window.partitionBy("sample_id").orderBy("community"))).filter(F.col("i") <= rounds - F.col("n"))
+    return got.unionByName(rest.select("sample_id", (F.col("n") + F.col("i") - 1).cast("int").alias("round"), "community", F.lit(0.0).alias("score")))
 
 

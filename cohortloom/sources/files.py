@@ -97,8 +97,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-ARTICLE = T.StructType.fromDDL("""MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<string>>,
-  Journal: struct<JournalIssue: struct<PubDate: struct<Year: string, MedlineDate: string>>>, AuthorList: struct<Author: array<struct<ForeName: string, LastName: string>>>>>""")
+ARTICLE = """MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<string>>,
+  Journal: struct<JournalIssue: struct<PubDate: struct<Year: string, MedlineDate: string>>>, AuthorList: struct<Author: array<struct<ForeName: string, LastName: string>>>>>"""
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:

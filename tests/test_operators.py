@@ -150,14 +150,33 @@ def test_communities_are_bounded_connected_and_cover_all(spark):
 
 
 def test_greedy_retrieval_is_the_plain_loop(spark):
-    nodes = [("s", "direct", "a"), ("s", "direct", "b"), ("s", "indirect", "c"), ("t", "direct", "z")]
-    members = [(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "c"), (4, "q")]
-    vec = [1.0, 0.0]
-    d = retrieval.greedy_retrieval(
-        spark.createDataFrame(nodes, "sample_id string, kind string, node string"), spark.createDataFrame(members, "community long, node string"), spark.createDataFrame([("s", vec), ("t", vec)], "sample_id string, vec array<double>"),
-        spark.createDataFrame([(c, vec) for c in (1, 2, 3, 4)], "community long, vec array<double>"), spark.createDataFrame([(1, vec)], "k long, vec array<double>"))
-    want = retrieval.greedy({"a": 1, "b": 1}, {"c"}, {1: ["a", "b"], 2: ["a", "c"], 3: ["c"]}, dict.fromkeys((1, 2, 3), 1.0), dict.fromkeys((1, 2, 3), 1.1), {"a": 0.0, "b": 0.0})
-    assert sorted((r.round, r.community, r.score) for r in d.collect()) == want and want[0][1] == 1
+    rng = random.Random(6)
+    members = {c: sorted({f"n{rng.randint(0, 30)}" for _ in range(5)}) for c in range(25)}
+    direct = {p: sorted({f"n{rng.randint(0, 30)}" for _ in range(4)}) for p in range(6)} | {6: ["unknown"]}
+    indirect = {p: sorted({f"n{rng.randint(0, 60)}" for _ in range(6)}) for p in range(7)}
+    indirect[6] = ["nowhere"]
+    vc, vp, vt = unit(25, 4, 1), unit(7, 4, 2), unit(3, 4, 3)
+    visit = {(p, n): k for p in direct for k, n in enumerate(direct[p])}
+    nodes = [(p, "direct", n) for p in direct for n in direct[p]] + [(p, "indirect", n) for p in indirect for n in indirect[p]]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = retrieval.greedy_retrieval(
+        table(nodes, "sample_id long, kind string, node string"), table([(c, n) for c in members for n in members[c]], "community long, node string"), table([(p, v.tolist()) for p, v in enumerate(vp)], "sample_id long, vec array<double>"),
+        table([(c, v.tolist()) for c, v in enumerate(vc)], "community long, vec array<double>"), table([(k, v.tolist()) for k, v in enumerate(vt)], "k long, vec array<double>"), table([(p, n, k) for (p, n), k in visit.items()], "sample_id long, node string, visit_idx int"))
+    want = []
+    for p in direct:
+        taken, left = {}, list(members)
+        for r in range(10):
+            score = {}
+            for c in left:
+                d, i = set(direct[p]) & set(members[c]), set(indirect[p]) & set(members[c])
+                recency = 1 + 0.1 * np.mean([visit[p, n] for n in d]) if d else 1
+                score[c] = (len(d) / len(direct[p]) + 0.8 * len(i) / len(indirect[p])) * np.prod([0.5 ** taken.get(n, 0) for n in members[c]]) * (1 + 0.1 * vc[c] @ vp[p]) * recency * (1 + 0.1 * (vt @ vc[c]).max())
+            best = max(score, key=score.get)
+            want.append((p, r, best, pytest.approx(score[best], abs=1e-8)))
+            left.remove(best)
+            for n in members[best]:
+                taken[n] = taken.get(n, 0) + 1
+    assert sorted(map(tuple, got.collect())) == want
 
 
 def test_provider_tries_again_then_falls_back():
