@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("ehr_queries", "knowledge_queries", "retrieval_queries", "training_queries")
+_MODULES = ("source_queries", "ehr_queries", "knowledge_queries", "retrieval_queries", "training_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
