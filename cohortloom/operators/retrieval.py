@@ -13,14 +13,13 @@ from . import tables, vectors
 NONE = "None"
 
 
-def similar_patients(vecs: DataFrame, info: DataFrame, first: int | None = 100, second: int | None = 50, k: int = 2, most_chars: int | None = 20000, most_target: int | None = 30000) -> DataFrame:
+def similar_patients(vecs: DataFrame, info: DataFrame, first: int = 100, second: int | None = 50, k: int = 2, most_chars: int | None = 20000, most_target: int | None = 30000) -> DataFrame:
     """(id, positive, negative): each target's k nearest contexts of its own label and of others, as text.
 
     vecs (id, vec); info (id, patient, label, text). Of the first nearest, other patients' second nearest count; texts above
     most_chars are passed over. Targets above most_target and those without a neighbour have ["None"].
     """
-    n = first or vecs.count()
-    near = vectors.top_k(vecs, vecs, n, norm=True)
+    near = vectors.top_k(vecs, vecs, first, norm=True)
     a = info.select(F.col("id").alias("query"), F.col("patient").alias("qp"), F.col("label").alias("ql"), F.length("text").alias("q_chars"))
     b = info.select(F.col("id").alias("item"), F.col("patient").alias("ip"), F.col("label").alias("il"), "text")
     w = Window.partitionBy("query").orderBy("rank")
@@ -41,17 +40,10 @@ def similar_patients(vecs: DataFrame, info: DataFrame, first: int | None = 100,
     return out.select("id", tidy("positive").alias("positive"), tidy("negative").alias("negative"))
 
 
-def nearest_ids(vecs: DataFrame, info: DataFrame, first: int | None, second: int | None, k: int) -> DataFrame:
-    """(id, same, neighbour, rank): similar_patients() as ids, without the bounds on texts."""
-    near = vectors.top_k(vecs, vecs, first or vecs.count(), norm=True)
-    a = info.select(F.col("id").alias("query"), F.col("patient").alias("qp"), F.col("label").alias("ql"))
-    b = info.select(F.col("id").alias("item"), F.col("patient").alias("ip"), F.col("label").alias("il"))
-    j = near.join(a, "query").join(b, "item").filter("qp <> ip").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
-    if second:
-        j = j.filter(F.col("r") <= second)
-    same = (F.col("ql") == F.col("il")).alias("same")
-    j = j.withColumn("same", same).withColumn("rank", F.row_number().over(Window.partitionBy("query", "same").orderBy("r")))
-    return j.filter(F.col("rank") <= k).select(F.col("query").alias("id"), "same", F.col("item").alias("neighbour"), "rank")
+def nearest_ids(vecs: DataFrame, info: DataFrame, k: int = 1) -> DataFrame:
+    """(id, same, neighbour, rank): the k nearest of other patients by label, among all vectors and without bounds on texts."""
+    got = vectors.top_k_by_label(vecs.join(info.select("id", "patient", "label"), "id"), k)
+    return got.select(F.col("query").alias("id"), "same", F.col("item").alias("neighbour"), "rank")
 
 
 def dense_search(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:

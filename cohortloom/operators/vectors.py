@@ -15,6 +15,8 @@ from pyspark.sql import Window
 
 from . import graph
 
+BLOCK = 4096  # vectors of one side of a task
+
 
 def _matrix(col: pd.Series, norm: bool) -> np.ndarray:
     m = np.stack([np.asarray(v, np.float64) for v in col])
@@ -27,19 +29,28 @@ def _blocked(df: DataFrame, id_col: str, n: int, side: str, m: int) -> DataFrame
     return d.withColumnRenamed("o", "bb" if side == "a" else "ba")
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, norm: bool = True, blocks: tuple[int, int] = (2, 4), id_col: str = "id") -> DataFrame:
+def blocks_of(df: DataFrame, each: int = BLOCK) -> int:
+    """How many blocks of about so many rows make up df; a count of its rows."""
+    return max(1, -(-df.count() // each))
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, norm: bool = True, blocks: tuple[int, int] | None = None, id_col: str = "id") -> DataFrame:
     """(query, item, score, rank): the k items of the greatest inner product (cosine if norm) of each query; ties by item."""
-    a, b = _blocked(queries, id_col, blocks[0], "a", blocks[1]), _blocked(items, id_col, blocks[1], "b", blocks[0])
+    m, n = blocks or (blocks_of(queries), blocks_of(items))
+    a, b = _blocked(queries, id_col, m, "a", n), _blocked(items, id_col, n, "b", m)
     kind = queries.schema[id_col].dataType
 
     def work(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query": [], "item": [], "score": []})
         x = x.sort_values("id")
-        s = np.round(_matrix(q["vec"], norm) @ _matrix(x["vec"], norm).T, 9)
-        n = min(k, len(x))
-        pick = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), n), "item": x["id"].to_numpy()[pick.ravel()], "score": np.take_along_axis(s, pick, 1).ravel()})
+        own, right = _matrix(q["vec"], norm), _matrix(x["vec"], norm).T
+        n, ids, out = min(k, len(x)), x["id"].to_numpy(), []
+        for at in range(0, len(q), 1024):
+            s = np.round(own[at : at + 1024] @ right, 9)
+            pick = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            out.append(pd.DataFrame({"query": np.repeat(q["id"].to_numpy()[at : at + 1024], n), "item": ids[pick.ravel()], "score": np.take_along_axis(s, pick, 1).ravel()}))
+        return pd.concat(out)
 
     schema = T.StructType([T.StructField("query", kind), T.StructField("item", items.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     got = a.groupBy("ba", "bb").cogroup(b.groupBy("ba", "bb")).applyInPandas(work, schema)
@@ -47,8 +58,42 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, norm: bool = True, block
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def close_pairs(items: DataFrame, distance: float, blocks: int = 4, id_col: str = "id") -> DataFrame:
+def top_k_by_label(rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+    """(query, same, item, score, rank) of rows (id, vec, patient, label): the k nearest rows of other patients by cosine, of the
+    query's label and of other labels apart. Every pair of blocks keeps its k best, so what is shuffled doesn't grow with all pairs."""
+    n = blocks or blocks_of(rows)
+    side = lambda s: _blocked(rows.withColumn("vec", F.struct("vec", "patient", "label")), "id", n, s, n).select("id", "vec.vec", "vec.patient", "vec.label", "ba", "bb")
+    kind = rows.schema["id"].dataType
+
+    def work(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "same": [], "item": [], "score": []})]
+        if not len(q) or not len(x):
+            return out[0]
+        x = x.sort_values("id")
+        right, ids = _matrix(x["vec"], True).T, x["id"].to_numpy()
+        own, qid, qp, ql = _matrix(q["vec"], True), q["id"].to_numpy(), q["patient"].to_numpy(), q["label"].to_numpy()
+        xp, xl, n = x["patient"].to_numpy(), x["label"].to_numpy(), min(k, len(x))
+        for at in range(0, len(q), 1024):
+            part = slice(at, at + 1024)
+            s = np.round(own[part] @ right, 9)
+            s[qp[part, None] == xp[None]] = -np.inf
+            same = ql[part, None] == xl[None]
+            for flag in (True, False):
+                t = np.where(same == flag, s, -np.inf)
+                pick = np.argsort(-t, axis=1, kind="stable")[:, :n]
+                got = pd.DataFrame({"query": np.repeat(qid[part], n), "same": flag, "item": ids[pick.ravel()], "score": np.take_along_axis(t, pick, 1).ravel()})
+                out.append(got[np.isfinite(got["score"])])
+        return pd.concat(out[1:])
+
+    schema = T.StructType([T.StructField("query", kind), T.StructField("same", T.BooleanType()), T.StructField("item", kind), T.StructField("score", T.DoubleType())])
+    got = side("a").groupBy("ba", "bb").cogroup(side("b").groupBy("ba", "bb")).applyInPandas(work, schema)
+    w = Window.partitionBy("query", "same").orderBy(F.desc("score"), "item")
+    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def close_pairs(items: DataFrame, distance: float, blocks: int | None = None, id_col: str = "id") -> DataFrame:
     """(u, v), u < v, of vectors whose cosine distance is below distance."""
+    blocks = blocks or blocks_of(items)
     a, b = _blocked(items, id_col, blocks, "a", blocks).filter("ba <= bb"), _blocked(items, id_col, blocks, "b", blocks).filter("ba <= bb")
     kind = items.schema[id_col].dataType
 

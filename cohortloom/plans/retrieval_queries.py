@@ -70,7 +70,7 @@ def similar_patients(spark, d):
 
 
 def similar_patients_full(spark, d):
-    return retrieval.nearest_ids(_vecs(spark, d), _info(spark, d), None, None, 1)
+    return retrieval.nearest_ids(_vecs(spark, d), _info(spark, d), 1)
 
 
 def dense_search(spark, d):

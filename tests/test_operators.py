@@ -116,9 +116,13 @@ def test_top_k_and_close_pairs_are_those_of_all_pairs(spark):
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
     s = np.round(m @ m.T, 9)
     want = {(i, int(j)) for i in range(60) for j in np.argsort(-s[i], kind="stable")[:4]}
-    assert {(r.query, r.item) for r in vectors.top_k(d, d, 4).collect()} == want
+    for blocks in (None, (2, 3)):
+        assert {(r.query, r.item) for r in vectors.top_k(d, d, 4, blocks=blocks).collect()} == want
+    rows = d.select("*", F.floor(F.col("id") / 2).alias("patient"), (F.col("id") % 3).alias("label"))
+    near = {(i, same, int([j for j in np.argsort(-s[i], kind="stable") if j // 2 != i // 2 and (j % 3 == i % 3) == same][0])) for i in range(60) for same in (True, False)}
+    assert {(r.query, r.same, r.item) for r in vectors.top_k_by_label(rows, 1, 3).collect()} == near
     pairs = {(i, j) for i in range(60) for j in range(i + 1, 60) if 1 - m[i] @ m[j] < 0.4}
-    assert {(r.u, r.v) for r in vectors.close_pairs(d, 0.4).collect()} == pairs
+    assert {(r.u, r.v) for r in vectors.close_pairs(d, 0.4, 3).collect()} == pairs
 
 
 def test_clusters_by_component_are_those_of_the_whole(spark):
