@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.tables import materialize
+
 
 def label_after(text: Column, marker: str) -> Column:
     """The character after the first marker; "0" without one."""
@@ -62,8 +64,14 @@ def binary(df: DataFrame, truth: str = "y", score: str = "s", threshold: float =
     times precision, the area under the ROC curve the sum of its trapezoids. Scores of threshold or more are positive.
     """
     cells = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth)).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = cells.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    # running sums within ranges of scores, on top of the sums of the ranges before: no task orders all scores
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells, _ = materialize(cells.repartitionByRange(n, F.desc("s")).withColumn("part", F.spark_partition_id()), "scores")
+    sums = cells.groupBy("part").agg(F.sum("pos").alias("pos_part"), F.sum("neg").alias("neg_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", *[F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")])
+    w = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = cells.join(sums, "part").withColumns({"tp": F.sum("pos").over(w) + F.col("pos_before"), "fp": F.sum("neg").over(w) + F.col("neg_before")})
     tot = cells.agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
     curve = cum.crossJoin(tot).agg(
         F.sum(F.try_divide(F.col("pos"), F.col("p_all")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"),
