@@ -45,7 +45,7 @@ def _ask(n_buckets: int, order: int):
     bounds = tokens.bucket_bounds(n_buckets)
 
     def ask(t: pa.Table) -> pa.Table:
-        keys, count = _keys(*tokens.word_hashes(t.column("text")), order)
+        keys, count = _keys(*tokens.word_hashes(pa.concat_tables(common.unpacked(t)).column("text")), order)
         at = np.r_[np.searchsorted(keys, bounds), len(keys)]
         used = np.flatnonzero(np.diff(at))
         return pa.table({
@@ -101,7 +101,8 @@ def score_words(words: np.ndarray, starts: np.ndarray, keys: np.ndarray, totals:
 
 
 def _score(order: int, alpha: float):
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = pa.concat_tables(common.unpacked(packed))
         words, starts = tokens.word_hashes(docs.column("text"))
         keys, _ = _keys(words, starts, order)
         by = np.argsort(answers.column("bucket").to_numpy()) if answers.num_rows else []
@@ -121,13 +122,12 @@ def _score(order: int, alpha: float):
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_order1.., log_score, mean_log_score) of every row; n_orderK: words scored by a K-gram."""
-    spark = docs.sparkSession
     n_chunks = common.parts(docs, chunk_bytes)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.coalesce(common.normalized(F.col(text_col)), F.lit("")).alias("text"))
-    laid = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    laid = common.laid_out(rows)
     asked = laid.groupBy("chunk").applyInArrow(_ask(n_chunks, order), "bucket long, chunk long, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, totals binary")
-    schema = T.StructType([laid.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("partial", T.DoubleType()), *(T.StructField(f"n_order{k}", T.LongType()) for k in range(1, order + 1))])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("partial", T.DoubleType()), *(T.StructField(f"n_order{k}", T.LongType()) for k in range(1, order + 1))])
     scored, _ = common.materialize(laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_score(order, alpha), schema), "backoff")
     whole = scored.agg(F.sum("n_words").alias("all_words"))
     others = F.greatest(F.col("all_words") - F.col("n_words"), F.lit(1))
