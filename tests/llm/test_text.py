@@ -90,6 +90,17 @@ def test_entities_of_awkward_rows(spark):
     assert pii.find_pii(docs_of(spark, [])).count() == 0
 
 
+def entity_texts(text):
+    return [(k, text[s:e]) for k, s, e in pii.entities(text, pii.train())]
+
+
+def test_entities_of_many_tokens_are_whole():
+    for iban in ("DE89 3704 0044 0532 0130 00", "FR76 3000 6000 0112 3456 7890 189"):
+        assert entity_texts(f"pay to {iban} today") == [("iban", iban)]
+    for phone in ("+33 1 23 45 67 89", "+33 6 12 34 56 78"):
+        assert entity_texts(f"call {phone} today") == [("phone", phone)]
+
+
 # language identification
 
 
