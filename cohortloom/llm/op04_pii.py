@@ -33,6 +33,8 @@ KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "secret")
 #: Tokens of the longest legal form of each kind: 34 characters of an IBAN by fours, a country code and 13 digits by twos, 19 digits of a card by fours.
 LONGEST = {"email": 1, "phone": 8, "ip": 1, "card": 5, "iban": 9, "ssn": 3, "secret": 3}
 MAX_TOKENS = max(LONGEST.values())
+#: No legal form but a secret's is longer (e-mail addresses: 64 + 1 + 255).
+LONGEST_CHARS = 320
 _TRIGGER = re.compile(r"[0-9@=]")
 _TOKEN = re.compile(r"\S+")
 _KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?$")
@@ -104,7 +106,10 @@ def shape(s: str) -> str:
 
 def trimmed(s: str) -> str:
     """Without the signs at its end; a quote stays where the span holds an assignment."""
-    s = re.sub(r"[^\w\"]+$", "", s)
+    n = len(s)
+    while n and not (s[n - 1].isalnum() or s[n - 1] in '_"'):  # a regular expression would try every sign within
+        n -= 1
+    s = s[:n]
     return s if "=" in s else s.rstrip('"')
 
 
@@ -116,8 +121,8 @@ def features(s: str, before: str, n_tokens: int) -> list[str]:
     if "@" in s:
         f.append("at=" + str(bool(re.fullmatch(r"[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{2,}", s))))
     octets = s.split(".")
-    if len(octets) == 4 and all(o.isdigit() for o in octets):
-        f.append("octets=" + str(all(int(o) < 256 and len(o) < 4 for o in octets)))
+    if len(octets) == 4 and all(o.isdecimal() for o in octets):
+        f.append("octets=" + str(all(len(o) < 4 and int(o) < 256 for o in octets)))
     if re.fullmatch(r"[\d -]+", s) and 13 <= len(digits) <= 19:
         f += [f"luhn={luhn(digits)}", f"issuer={digits[0]}"]
     if re.fullmatch(r"\+?[\d ().-]+", s):
@@ -148,8 +153,10 @@ def segments(text: str, toks: list[tuple[int, int]], before: str) -> list[tuple[
         for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
             raw = text[toks[i][0] : toks[j - 1][1]]
             s = trimmed(raw)
-            if len(s) <= toks[j - 1][0] - toks[i][0] or len(s) > 400:
+            if len(s) <= toks[j - 1][0] - toks[i][0]:
                 continue
+            if len(s) > LONGEST_CHARS and j > i + 1 and "=" not in s:
+                break  # only a secret can be as long, and one of several tokens is an assignment
             out.append((i, j, toks[i][0] + len(s), features(s, prev, j - i)))
     return out
 
@@ -255,15 +262,15 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         hx, up = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
         make = lambda a, n: "".join(rng.choice(a) for _ in range(n))
         name = rng.choice(["token", "password", "secret", "api_key", "passwd", "pwd", "auth_token"])
-        value = rng.choice([make(hx, rng.choice([16, 18, 32, 40, 64])), make(up + hx, rng.randint(10, 40)), make("abcdefghij", 6) + d(2)])
-        return rng.choice([lambda: "AKIA" + make(up, 16), lambda: "AKIA" + make(up, 16), lambda: "ghp_" + make(hx + "GHIJKLmnop", 36), lambda: f'{name} = "{value}"', lambda: f"{name}={value}", lambda: f"{name}={value}", lambda: f'{name}="{value}"'])()
+        value = rng.choice([make(hx, rng.choice([16, 18, 32, 40, 64])), make(up + hx, rng.randint(10, 40)), make("abcdefghij", 6) + d(2), make(up + hx, rng.choice([120, 450, 1000]))])
+        return rng.choice([lambda: "AKIA" + make(up, 16), lambda: "AKIA" + make(up, 16), lambda: "ghp_" + make(hx + "GHIJKLmnop", 36), lambda: f'{name} = "{value}"', lambda: f"{name}={value}", lambda: f"{name}={value}", lambda: f'{name}="{value}"', lambda: "eyJ" + ".".join(make(up + hx + "ghijk_-", rng.choice([20, 60, 300])) + make(up, 1) for _ in range(3))])()
 
     phone = lambda: rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.choice(['44', '49', '33', '34'])} {d(3)} {d(7)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", "+" + " ".join(d(2) for _ in range(rng.choice([5, 6, 7])))])
     make = {
         "email": lambda: f"{word()}{rng.choice(['', '.', '_', '+'])}{rng.choice([word(), d(2), word() + '.' + d(2)])}@{rng.choice([word(), 'mail' + d(1)])}.{rng.choice(['com', 'org', 'example.com', 'de', 'co.uk', 'example.org'])}",
         "phone": phone, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": lambda: split4(card()), "iban": iban, "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}", "secret": secret,
     }
-    other = [lambda: d(rng.randint(1, 9)), lambda: f"{rng.randint(1900, 2030)}", lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"x = {d(2)}", lambda: f"{word()}={word()}", lambda: f"{word()} = {word()}", lambda: f"@{word()}", lambda: f"{word()}{d(2)}", lambda: f"({d(1)})", lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", lambda: d(rng.choice([10, 11, 12, 17, 18, 20])), not_card, not_card, lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{word()} @ {word()}", lambda: f"{word()}-{d(3)}-{d(2)}", lambda: f"/{word()}?page={d(1)}"]
+    other = [lambda: d(rng.randint(1, 9)), lambda: f"{rng.randint(1900, 2030)}", lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"x = {d(2)}", lambda: f"{word()}={word()}", lambda: f"{word()} = {word()}", lambda: f"@{word()}", lambda: f"{word()}{d(2)}", lambda: f"({d(1)})", lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", lambda: d(rng.choice([10, 11, 12, 17, 18, 20])), lambda: word() * rng.choice([40, 150]) + d(2), not_card, not_card, lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{word()} @ {word()}", lambda: f"{word()}-{d(3)}-{d(2)}", lambda: f"/{word()}?page={d(1)}"]
     text, spans = word(), []
     for _ in range(rng.choice([1, 1, 1, 2, 2, 3])):
         text += " "

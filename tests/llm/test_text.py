@@ -101,6 +101,14 @@ def test_entities_of_many_tokens_are_whole():
         assert entity_texts(f"call {phone} today") == [("phone", phone)]
 
 
+def test_long_tokens_are_scored():
+    r = random.Random(5)
+    long = lambda n: "".join(r.choice("abcdefghijkLMNOPQ0123456789_-") for _ in range(n)) + "x"
+    for secret in (f"eyJ{long(36)}.eyJ{long(600)}.{long(350)}", f"token={long(1000)}"):
+        assert entity_texts(f"send {secret} along") == [("secret", secret)]
+    assert entity_texts("see 1.2.3." + "4" * 5000 + " and 1.2.3.\u00b2 here") is not None
+
+
 # language identification
 
 
