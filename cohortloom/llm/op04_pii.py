@@ -30,13 +30,19 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "secret")
-#: Tokens of the longest legal form of each kind: 34 characters of an IBAN by fours, a country code and 13 digits by twos, 19 digits of a card by fours.
-LONGEST = {"email": 1, "phone": 8, "ip": 1, "card": 5, "iban": 9, "ssn": 3, "secret": 3}
+#: Tokens of the longest legal form of each kind: name, sign and domain in another script, a country code, (0) and 13 digits by twos, 19 digits of a card
+#: by fours, 34 characters of an IBAN by fours, name = "value".
+LONGEST = {"email": 7, "phone": 11, "ip": 1, "card": 5, "iban": 9, "ssn": 3, "secret": 5}
 MAX_TOKENS = max(LONGEST.values())
 #: No legal form but a secret's is longer (e-mail addresses: 64 + 1 + 255).
 LONGEST_CHARS = 320
 _TRIGGER = re.compile(r"[0-9@=]")
-_TOKEN = re.compile(r"\S+")
+_LATIN = r"0-9A-Za-z_\u00c0-\u024f"
+#: Words of one script with the signs that are inside entities; every other sign is a token.
+_TOKEN = re.compile(rf"\+?[{_LATIN}][{_LATIN}.@%+-]*|[^\W{_LATIN}]+|[^\w\s]")
+_SOFT = frozenset("=:/.@%+-#$!*~^\\_")
+#: What spans of several tokens without an assignment look like: numbers, IBANs, addresses in another script.
+_SEVERAL = re.compile(rf"[\d ()./+-]+|[A-Za-z]{{2}}\d{{2}}[A-Za-z0-9 ]+|[\w.+%-]*[^\W{_LATIN}][\w.+%-]*@?[\w.-]*|[\w.+%-]+@[\w.-]*[^\W{_LATIN}][\w.-]*")
 _KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?$")
 _SECRET_PREFIX = re.compile(r"AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza|eyJ")
 
@@ -145,19 +151,73 @@ def features(s: str, before: str, n_tokens: int) -> list[str]:
     return f
 
 
+def _units(text: str, toks: list[tuple[int, int]]) -> dict[int, set[int]]:
+    """{first token: tokens after the last} of spans whose inner signs don't matter: from a word's start to its end and, after a "=",
+    to the ends of the next words; between two signs that end values, and after the first "=" or ":" in there; within quotes, with
+    the name before. Starts and ends are few for each word, so all of them are linear in the text."""
+    n, out = len(toks), {}
+    sign = [text[s] if e - s == 1 and not (text[s].isalnum() or text[s] == "_") else "" for s, e in toks]
+    gap = [k == 0 or toks[k][0] > toks[k - 1][1] for k in range(n)] + [True]
+    word_end, unit_end, quote = [n] * (n + 1), [n] * (n + 1), {}
+    for k in range(n - 1, -1, -1):
+        word_end[k] = k + 1 if gap[k + 1] else word_end[k + 1]
+        hard = sign[k] and sign[k] not in _SOFT
+        unit_end[k] = k if hard else k + 1 if gap[k + 1] else unit_end[k + 1]
+    later: dict[str, int] = {}
+    for k in range(n - 1, -1, -1):
+        if sign[k] in ('"', "'", "`"):
+            quote[k] = later.get(sign[k])
+            later[sign[k]] = k
+    parted = False
+    for k in range(n):
+        fresh = gap[k] or bool(sign[k - 1] and sign[k - 1] not in _SOFT)
+        after = not fresh and sign[k - 1] in ("=", ":") and not parted
+        parted = parted and not fresh or after
+        ends = out.setdefault(k, set())
+        if gap[k]:
+            ends.add(word_end[k])
+            e = word_end[k]
+            if e < n and ("=" in (sign[e - 1], sign[e])):  # name = value
+                for _ in range(2):
+                    e = word_end[e] if e < n else e
+                    ends.add(e)
+        if fresh or after:
+            ends.add(unit_end[k])
+        if k and sign[k - 1] and quote.get(k - 1):
+            ends.add(quote[k - 1])
+        if k + 2 < n and sign[k + 1] == "=" and quote.get(k + 2):
+            ends.add(quote[k + 2] + 1)
+        for e in list(ends):
+            j = e
+            while j > k + 1 and sign[j - 1] and sign[j - 1] != '"':
+                j -= 1
+            ends.discard(e)
+            if j > k:
+                ends.add(j)
+    return out
+
+
 def segments(text: str, toks: list[tuple[int, int]], before: str) -> list[tuple[int, int, int, list[str]]]:
     """(first token, token after the last, end of the trimmed text, features) of all candidate spans of a run."""
-    out = []
-    for i in range(len(toks)):
-        prev = before if i == 0 else text[slice(*toks[i - 1])].lower().strip(".,;:!?")
-        for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
-            raw = text[toks[i][0] : toks[j - 1][1]]
-            s = trimmed(raw)
-            if len(s) <= toks[j - 1][0] - toks[i][0]:
+    out, units, word = [], _units(text, toks), before
+    for i, (at, first_end) in enumerate(toks):
+        first = text[at:first_end]
+        ends = set(units[i])
+        if first[0].isalnum() or first[0] in "+(_":
+            assigns = i + 1 < len(toks) and text[toks[i + 1][0]] == "="
+            for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
+                if j > i + 1 and not assigns and (toks[j - 1][1] - at > LONGEST_CHARS or not _SEVERAL.fullmatch(trimmed(text[at : toks[j - 1][1]]))):
+                    break  # only an assignment can be as long or hold other signs
+                ends.add(j)
+        for j in sorted(ends):
+            s = trimmed(text[at : toks[j - 1][1]])
+            if len(s) <= toks[j - 1][0] - at or not (_TRIGGER.search(s) or _SECRET_PREFIX.match(s)):
                 continue
-            if len(s) > LONGEST_CHARS and j > i + 1 and "=" not in s:
-                break  # only a secret can be as long, and one of several tokens is an assignment
-            out.append((i, j, toks[i][0] + len(s), features(s, prev, j - i)))
+            left = text[at - 1] if at else " "
+            left = "space" if left.isspace() else "letter" if left.isalnum() else left if left in "=:,;/(<" else "quote" if left in "\"'`" else "sign"
+            out.append((i, j, at + len(s), [*features(s, word, j - i), f"left={left}"]))
+        if first[0].isalnum() or first[0] in "+_":
+            word = first.lower().strip(".,;:!?")
     return out
 
 
@@ -271,16 +331,26 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "phone": phone, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": lambda: split4(card()), "iban": iban, "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}", "secret": secret,
     }
     other = [lambda: d(rng.randint(1, 9)), lambda: f"{rng.randint(1900, 2030)}", lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"x = {d(2)}", lambda: f"{word()}={word()}", lambda: f"{word()} = {word()}", lambda: f"@{word()}", lambda: f"{word()}{d(2)}", lambda: f"({d(1)})", lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", lambda: d(rng.choice([10, 11, 12, 17, 18, 20])), lambda: word() * rng.choice([40, 150]) + d(2), not_card, not_card, lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{word()} @ {word()}", lambda: f"{word()}-{d(3)}-{d(2)}", lambda: f"/{word()}?page={d(1)}"]
+    around = [("(", ")"), ("<", ">"), ("[", "]"), ('"', '"'), ("'", "'"), ("*", "*"), ("mailto:", ""), ("tel:", ""), ("http://", "/x"), ('{"' + word() + '":"', '"}'), (f'"{word()}":"', '",'), (word() + ",", "," + word()), (d(2) + ",", "," + d(3)), (word() + ";", ";"), (word() + "=", ""), ("?" + word() + "=", "&" + word() + "=" + d(1)), (word() + ":", ""), ("\u96fb\u8a71", "\u307e\u3067"), ("\u0442\u0435\u043b", ""), ("<b>", "</b>"), ("|", "|")]
     text, spans = word(), []
     for _ in range(rng.choice([1, 1, 1, 2, 2, 3])):
         text += " "
         if rng.random() < 0.6:
             kind = rng.choice(KINDS)
             s = make[kind]()
-            spans.append((len(text), len(text) + len(s), kind))
         else:
-            s = rng.choice(other)()
-        text += s + rng.choice(["", "", "", ".", ",", "!!", "%%%", "***", " " + word(), " " + word() + "."])
+            kind, s = None, rng.choice(other)()
+        head, tail = rng.choice(around) if rng.random() < 0.4 and "=" not in s else ("", "")
+        text += head if not head.startswith("?") else "/" + word() + head
+        if kind:
+            spans.append((len(text), len(text) + len(s), kind))
+        text += s + tail
+        if kind in ("email", "phone", "ip", "card") and rng.random() < 0.1:  # two in a token
+            text += rng.choice([",", ";", "|", '","', '":"'])
+            more = make["email"]()
+            spans.append((len(text), len(text) + len(more), "email"))
+            text += more
+        text += rng.choice(["", "", "", ".", ",", "!!", "%%%", "***", " " + word(), " " + word() + "."])
     return text + " " + word(), spans
 
 

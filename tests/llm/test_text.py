@@ -109,6 +109,26 @@ def test_long_tokens_are_scored():
     assert entity_texts("see 1.2.3." + "4" * 5000 + " and 1.2.3.\u00b2 here") is not None
 
 
+def test_entities_within_tokens():
+    mail = ("email", "jane@x.org")
+    for text in ("(jane@x.org)", "<jane@x.org>", "mailto:jane@x.org", '"jane@x.org"', "*jane@x.org*", "\u96fb\u8a71jane@x.org\u307e\u3067"):
+        assert entity_texts(f"write to {text} now") == [mail], text
+    assert entity_texts("to a@b.org,c@d.org now") == [("email", "a@b.org"), ("email", "c@d.org")]
+    assert entity_texts('{"email":"a@b.org","phone":"212-555-0147"}') == [("email", "a@b.org"), ("phone", "212-555-0147")]
+    assert entity_texts("open http://10.20.30.40/x now") == [("ip", "10.20.30.40")]
+
+
+def test_decoding_of_cut_tokens_is_that_of_all_segmentations():
+    model, r = pii.train(), np.random.default_rng(4)
+    for text in ("(a@b.org,", '"1":"', "<1 2>", "a=1,", "t:4 (5)"):
+        toks, before = next(iter(pii.runs(text)))
+        toks = toks[:4]
+        segs = pii.segments(text, toks, before)
+        noisy = pii.Model(model.names, model.w + r.normal(0, 1, model.w.shape), model.a + r.normal(0, 1, model.a.shape))
+        best = max(all_segmentations(len(toks), segs), key=lambda w: worth(noisy, segs, w))
+        assert noisy.decode(len(toks), segs) == [(x, y) for x, y in best if x is not None]
+
+
 # language identification
 
 
