@@ -5,10 +5,13 @@ character spread, key words and the word before are features of the span, not of
 over segments of bounded length chooses boundaries and types together; neighbouring entities have transition
 weights. The weights are fitted here by maximum likelihood (forward-backward over segments) on invented examples.
 
-A token can only be in an entity if it has a digit, "@" or "=" or touches an "=" token, so texts fall apart into
-runs of such tokens and all other tokens are outside; runs are decoded one by one, which is the optimum of the text.
+Words (between blanks) are candidates if they have a digit, "@" or "=", touch an "=" word, have or follow a key word such as
+"password", begin like an access key, or are groups of at most four capitals behind a candidate, as in IBANs. Texts fall
+apart into runs of such words, cut at signs and changes of script, and runs are decoded one by one: the result is the
+optimum over the candidates, all other words being outside by rule. A secret of letters alone that no key word precedes
+and that begins like none is not a candidate, nor is one of several words without "=" or quotes.
 
-Defined cases: null and empty texts and texts without such tokens have no rows; whole texts are read, a run of
+Defined cases: null and empty texts and texts without such words have no rows; whole texts are read, a run of
 any length is decoded in time linear in its length; repeated rows have rows each; an empty table gives none; other
 columns are never looked at. start and end count characters (code points).
 """
@@ -37,6 +40,9 @@ MAX_TOKENS = max(LONGEST.values())
 #: No legal form but a secret's is longer (e-mail addresses: 64 + 1 + 255).
 LONGEST_CHARS = 320
 _TRIGGER = re.compile(r"[0-9@=]")
+_OPEN = re.compile(r"[0-9@=]|(?P<key>(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?(?![^\W_]))|(?<![^\W_])(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza|eyJ)")
+_GROUP = re.compile(r"\s+[A-Z]{1,4}(?!\w)")
+_BEHIND = re.compile(r"(?:\s+[:=]+(?!\S))?\s+\S+")
 _LATIN = r"0-9A-Za-z_\u00c0-\u024f"
 #: Words of one script with the signs that are inside entities; every other sign is a token.
 _TOKEN = re.compile(rf"\+?[{_LATIN}][{_LATIN}.@%+-]*|[^\W{_LATIN}]+|[^\w\s]")
@@ -56,7 +62,7 @@ def runs(text: str):
     spans: list[list[int]] = []
     at, n = 0, len(text)
     while True:
-        m = _TRIGGER.search(text, at)
+        m = _OPEN.search(text, at)
         if not m:
             break
         s = m.start()
@@ -75,11 +81,13 @@ def runs(text: str):
                 while k > 0 and not text[k - 1].isspace():
                     k -= 1
                 s = k
-            if token.endswith("="):
-                while e < n and text[e].isspace():
-                    e += 1
-                while e < n and not text[e].isspace():
-                    e += 1
+        if token.endswith("=") or _KEYWORD.search(token.rstrip("\"'`:;,.)]>*")):
+            behind = _BEHIND.match(text, e)
+            e = behind.end() if behind else e
+        while m := _GROUP.match(text, e):
+            e = m.end()
+            while e < n and not text[e].isspace():
+                e += 1
         if spans and not text[spans[-1][1] : s].strip():
             spans[-1][1] = max(e, spans[-1][1])
         else:
@@ -199,10 +207,10 @@ def _units(text: str, toks: list[tuple[int, int]]) -> dict[int, set[int]]:
 
 def segments(text: str, toks: list[tuple[int, int]], before: str) -> list[tuple[int, int, int, list[str]]]:
     """(first token, token after the last, end of the trimmed text, features) of all candidate spans of a run."""
-    out, units, word = [], _units(text, toks), before
+    out, units, word, between = [], _units(text, toks), before, ""
     for i, (at, first_end) in enumerate(toks):
         first = text[at:first_end]
-        ends = set(units[i])
+        ends, key = set(units[i]), bool(_KEYWORD.search(word))
         if first[0].isalnum() or first[0] in "+(_":
             assigns = i + 1 < len(toks) and text[toks[i + 1][0]] == "="
             for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
@@ -211,13 +219,15 @@ def segments(text: str, toks: list[tuple[int, int]], before: str) -> list[tuple[
                 ends.add(j)
         for j in sorted(ends):
             s = trimmed(text[at : toks[j - 1][1]])
-            if len(s) <= toks[j - 1][0] - at or not (_TRIGGER.search(s) or _SECRET_PREFIX.match(s)):
+            if len(s) <= toks[j - 1][0] - at or not (key or _TRIGGER.search(s) or _SECRET_PREFIX.match(s)):
                 continue
             left = text[at - 1] if at else " "
             left = "space" if left.isspace() else "letter" if left.isalnum() else left if left in "=:,;/(<" else "quote" if left in "\"'`" else "sign"
-            out.append((i, j, at + len(s), [*features(s, word, j - i), f"left={left}"]))
+            out.append((i, j, at + len(s), [*features(s, word, j - i), f"left={left}", *([f"after keyword{between}"] if key else [])]))
         if first[0].isalnum() or first[0] in "+_":
-            word = first.lower().strip(".,;:!?")
+            word, between = first.lower().strip(".,;:!?"), ""
+        elif first in ":=":
+            between = first
     return out
 
 
@@ -309,8 +319,10 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         body = d(15)
         return body + rng.choice([c for c in "0123456789" if not luhn(body + c)])
 
+    caps = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
     def iban() -> str:
-        country, body = rng.choice(["DE", "FR", "ES", "GB"]), d(rng.choice([18, 20, 23, 30]))
+        country, body = rng.choice(["DE", "FR", "ES", "GB"]), rng.choice([d(18), d(20), d(23), d(30), caps(4) + d(14), caps(4) + d(14), caps(4) + d(20) + caps(3), d(10) + caps(1) + d(10) + caps(2)])
         number = int("".join(str(int(c, 36)) for c in body + country + "00"))
         s = f"{country}{98 - number % 97:02d}{body}"
         return rng.choice([s, " ".join(s[i : i + 4] for i in range(0, len(s), 4))])
@@ -342,6 +354,14 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             kind, s = None, rng.choice(other)()
         head, tail = rng.choice(around) if rng.random() < 0.4 and "=" not in s else ("", "")
         text += head if not head.startswith("?") else "/" + word() + head
+        if rng.random() < 0.15:  # behind a key word
+            kind, head, tail = None, "", ""
+            text += rng.choice(["password", "Password", "token", "secret", "api_key", "passwd", "auth_token"])
+            letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" + rng.choice(["", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])) for _ in range(rng.randint(14, 30)))
+            text += (sign := rng.choice([": ", ":", ' : ', ': "', '":"', " "]))
+            s = rng.choice([letters, (word() + word() + word() + word() + "thehorsebattery")[:28], "".join(rng.choice("abcdefgh") for _ in range(6)) + d(2), word(), word()] if sign != " " else [letters, word() * 2 + "correcthorse", word(), word(), word(), d(rng.randint(1, 5)), f"{word()} {word()}"])
+            kind = "secret" if len(s) > 11 and " " not in s or sign != " " and s[-1].isdigit() else None
+            tail = '"' if '"' in sign else ""
         if kind:
             spans.append((len(text), len(text) + len(s), kind))
         text += s + tail
@@ -358,11 +378,15 @@ def _instances(n: int, seed: int):
     rng = random.Random(seed)
     for _ in range(n):
         text, spans = example(rng)
+        left = len(spans)
         for toks, before in runs(text):
             segs = segments(text, toks, before)
             gold = {(toks[i][0], end): x for x, (i, _, end, _) in enumerate(segs)}
             mine = [(s, e, k) for s, e, k in spans if toks[0][0] <= s < toks[-1][1]]
+            left -= len(mine)
             yield len(toks), segs, [(gold[s, e], KINDS.index(k)) for s, e, k in mine]  # a span that is no candidate is an error
+        if left:
+            raise ValueError(f"entities outside all runs: {text!r}")
 
 
 @lru_cache(maxsize=2)
@@ -435,7 +459,7 @@ def _find(model: Model):
 
 def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start, end): a row for every entity of every text; narrow, no shuffle."""
-    rows = docs.filter(F.col(text_col).rlike("[0-9@=]")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(text_col).rlike("[0-9@=]|(?i:pass|pwd|token|secret|key|auth|credential)|AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza|eyJ")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     return rows.mapInArrow(_find(model or train()), schema)
 

@@ -129,6 +129,20 @@ def test_decoding_of_cut_tokens_is_that_of_all_segmentations():
         assert noisy.decode(len(toks), segs) == [(x, y) for x, y in best if x is not None]
 
 
+def test_secrets_after_keywords_and_ibans_with_letters():
+    for text in ("password: correcthorsebattery", "my password correcthorsebattery is old", '{"password":"correcthorsebattery"}'):
+        assert entity_texts(text) == [("secret", "correcthorsebattery")], text
+    for iban in ("GB29 NWBK 6016 1331 9268 19", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SC18 SSCB 1101 0000 0000 0000 1497 USD"):
+        assert entity_texts(f"pay to {iban} today") == [("iban", iban)]
+    for text in ("the password reset page", "a secret garden", "key words and tokens of it"):
+        assert entity_texts(text) == []
+
+
+def test_texts_without_digits_are_read(spark):
+    rows = [(1, "password: correcthorsebattery"), (2, "plain words")]
+    assert [(r.doc_id, r.kind) for r in pii.find_pii(docs_of(spark, rows)).collect()] == [(1, "secret")]
+
+
 # language identification
 
 
