@@ -5,6 +5,10 @@ right checksum, its version line and headers parse, its block has the stated len
 After a failed check the reader searches for the next byte from which a valid record begins (a member's magic
 or a version line), goes on there, and logs the bytes between as a quarantined gap with its reason.
 
+A member of several records gives all of them, found in its inflated bytes as in a plain file: each has the member's offset, the
+first its length and the others 0, so that lengths sum to the bytes covered; a gap in there has length 0 and names its
+inflated bytes.
+
 Files of any size are read in byte ranges: ``read_warc`` gives each task a range, which takes the records that
 begin in it. A range's reader looks for its first record as after a failure; the bytes up to there belong to the
 record of the range before, so gaps are only known once neighbours are put together: a range reports what it
@@ -65,8 +69,8 @@ def parse_record(b: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], by
     return headers, bytes(b[start : start + size]), start + size + 4
 
 
-def read_member(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record of the gzip member at a byte."""
+def read_member(data: memoryview, at: int) -> tuple[list[tuple], int]:
+    """([("record", headers, block) or ("gap", reason)], end) of the gzip member at a byte; it has a record at least."""
     z = zlib.decompressobj(31)
     try:
         plain = z.decompress(data[at:])
@@ -75,10 +79,27 @@ def read_member(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Broken("checksum is wrong" if "check" in str(e) else "member doesn't inflate") from None
     if not z.eof:
         raise Broken("member is cut off")
-    headers, block, end = parse_record(plain)
-    if end != len(plain):
-        raise Broken("member holds more than a record")
-    return headers, block, len(data) - len(z.unused_data)
+    found, here, bad, why, first = [], 0, None, "", None
+    while here < len(plain):
+        try:
+            headers, block, end = parse_record(plain, here)
+        except Broken as e:
+            first = first or e
+            if bad is None:
+                bad, why = here, str(e)
+            m = _VERSION.search(plain, here + 1)
+            here = m.start() if m else len(plain)
+            continue
+        if bad is not None:
+            found.append(("gap", f"inflated bytes {bad} to {here}: {why}"))
+            bad = None
+        found.append(("record", headers, block))
+        here = end
+    if bad is not None:
+        found.append(("gap", f"inflated bytes {bad} to {here}: {why}"))
+    if not any(x[0] == "record" for x in found):
+        raise first or Broken("no version line")
+    return found, len(data) - len(z.unused_data)
 
 
 def salvage(data: bytes, begin: int = 0, stop: int | None = None):
@@ -95,8 +116,11 @@ def salvage(data: bytes, begin: int = 0, stop: int | None = None):
         at = m.start() if m else stop
     while at < stop:
         try:
-            headers, block, end = (read_member if data[at : at + 3] == _MAGIC else parse_record)(view, at)
-            end = end if data[at : at + 3] == _MAGIC else end
+            if data[at : at + 3] == _MAGIC:
+                found, end = read_member(view, at)
+            else:
+                headers, block, end = parse_record(view, at)
+                found = [("record", headers, block)]
         except Broken as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -107,7 +131,13 @@ def salvage(data: bytes, begin: int = 0, stop: int | None = None):
             if at > bad:
                 yield "gap", bad, at - bad, why, bad == begin and begin > 0
             bad = None
-        yield "record", at, end - at, headers, block
+        length = end - at
+        for x in found:
+            if x[0] == "gap":
+                yield "gap", at, 0, x[1], False
+            else:
+                yield "record", at, length, x[1], x[2]
+                length = 0
         at = end
     if bad is not None and stop > bad:
         yield "gap", bad, stop - bad, why, bad == begin and begin > 0
@@ -139,7 +169,7 @@ def read_contents(files: DataFrame, id_col: str, content_col: str = "content") -
             for i, content in zip(b.column(0), b.column(1)):
                 for x in salvage(content.as_py()):
                     rows.append((i.as_py(), *_row(x)))
-                    size += x[2]
+                    size += x[2] if x[0] == "gap" else len(x[4])
                     if size > 1 << 22 or len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
                         rows, size = [], 0
@@ -183,9 +213,10 @@ def whole_gaps(read: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("file").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.when(F.col("kind") == "record", F.col("byte_offset") + F.col("byte_length"))).over(w)
-    cut = F.greatest(F.col("byte_offset"), F.coalesce("reach", F.lit(0)))
+    inner = F.col("byte_length") == 0  # within a member, which its records cover
+    cut = F.when(inner, F.col("byte_offset")).otherwise(F.greatest(F.col("byte_offset"), F.coalesce("reach", F.lit(0))))
     end = F.col("byte_offset") + F.col("byte_length")
-    return read.select("file", "kind", "byte_offset", "byte_length", "reason").withColumn("reach", reach).filter("kind = 'gap'").select("file", cut.alias("byte_offset"), (end - cut).alias("byte_length"), "reason").filter("byte_length > 0")
+    return read.select("file", "kind", "byte_offset", "byte_length", "reason").withColumn("reach", reach).filter("kind = 'gap'").select("file", cut.alias("byte_offset"), (end - cut).alias("byte_length"), "reason", inner.alias("inner")).filter("byte_length > 0 OR inner").drop("inner")
 
 
 def write_record(kind: str, record_id: str, uri: str, block: bytes, packed: bool = True) -> bytes:

@@ -246,6 +246,22 @@ def capture():
     return parts, np.cumsum([0, *map(len, parts)])
 
 
+def test_all_records_of_a_member_are_read():
+    import gzip
+
+    parts = [warc.write_record("response", f"urn:{i}", "u", b"block %d" % i, packed=False) for i in range(5)]
+    one = warc.write_record("response", "urn:9", "u", b"after")
+    data = gzip.compress(b"".join(parts)) + one
+    got = list(warc.salvage(data))
+    assert [(x[0], x[4]) for x in got] == [("record", b"block %d" % i) for i in range(5)] + [("record", b"after")]
+    assert sum(x[2] for x in got) == len(data) and got[-1][1] == len(data) - len(one)
+    broken = gzip.compress(parts[0] + parts[1][9:] + parts[2])
+    got = list(warc.salvage(broken))
+    assert [x[4] for x in got if x[0] == "record"] == [b"block 0", b"block 2"]
+    assert [x[1:3] for x in got if x[0] == "gap"] == [(0, 0)]
+    assert [x[0] for x in warc.salvage(gzip.compress(b"rubbish"))] == ["gap"]
+
+
 def test_whole_files_are_read_whole():
     parts, at = capture()
     assert records(b"".join(parts)) == [(int(a), len(p)) for a, p in zip(at, parts)]
