@@ -102,3 +102,25 @@ def held_items(rows, items, n=3, share=0.8):
             if best >= max(1, -(-int(share * 1e6) * len(grams) // 1_000_000)):
                 out.append((d, item, best, len(grams)))
     return sorted(out)
+
+
+def learned(rows, labels):
+    """The lexicon that labelled texts teach, counted plainly."""
+    from cohortloom.llm import op02_toxicity as tox
+
+    texts, out = dict(rows), tox.seeds()
+    own = [(k, tox.fold(texts[i] or "").split()) for i, k in labels if texts.get(i)]
+    n, m = Counter(k for k, w in own if w), Counter()
+    rate, have = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    for k, w in own:
+        m[k] += len(w)
+        terms = [t for x in w for t in [f" {x} ", *(f" {x[:j]}" for j in tox.STEMS if j <= len(x))]]
+        rate[k].update(terms)
+        have[k].update(set(terms))
+    if n[0] and n[1]:
+        for t, a in rate[1].items():
+            ratio = a * m[0] / (m[1] * (rate[0][t] + tox.SMOOTH))
+            d = have[1][t]
+            if ratio >= tox.MIN_RATIO and d >= max(tox.MIN_DOCS, tox.MIN_SHARE * n[1]) and d * n[0] >= tox.MIN_LIFT * have[0][t] * n[1]:
+                out[t] = max(out.get(t, 0), min(10, round(2 * log(ratio))))
+    return {t: w for t, w in out.items() if t in tox.seeds() or not any(out.get(t[:k], 0) >= w for k in range(len(t)))}

@@ -7,7 +7,7 @@ import corpus_pipeline
 from cohortloom.llm import op02_toxicity as tox
 from cohortloom.llm import op03_bpe as bpe
 
-from .fixtures import ODD, docs_of, held_items, jaccard, shingles
+from .fixtures import ODD, docs_of, held_items, jaccard, learned, shingles
 from .test_scoring import TOXIC
 
 rng = random.Random(12)
@@ -41,16 +41,19 @@ def tables(spark, folder):
     add("")
     docs_of(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(r[0], int(TOXIC in (r[1] or ""))) for r in rows], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     return rows, items
 
 
 def brute(rows, items):
     """ids that every stage keeps, one stage after another."""
-    automaton = tox._automaton(*tox._frozen(None, None))
+    terms = learned(rows, [(i, int(TOXIC in (t or ""))) for i, t in rows])
 
     def toxic(t):
-        words = " ".join(tox.fold_word(w) for w in (t or "").split())
-        return bool(words) and tox.weigh(words, automaton)[0] / len(words.split()) >= tox.THRESHOLD
+        words = tox.fold(t or "").split()
+        hits = [(max(terms.get(x, 0) for x in own), own[0] in tox.seeds()) for w in words for own in [[f" {w} ", *(f" {w[:k]}" for k in range(1, len(w) + 1))]]]
+        hits = [h for h in hits if h[0]]
+        return bool(words) and sum(w for w, _ in hits) / len(words) >= tox.THRESHOLD and (len(hits) > 1 or any(s for _, s in hits))
 
     left = [r for r in rows if not toxic(r[1])]
     seen, kept = set(), []
@@ -81,6 +84,7 @@ def test_run_is_brute_force(spark, tmp_path):
 
 def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "bpe"]
     for rows in (ODD, []):
         docs = docs_of(spark, rows)
@@ -93,3 +97,10 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
             else:
                 # 14 rows: one 7, one empty, one long and two "one" are copies; null texts stay
                 assert out.count() == (len({t for _, t in rows if t is not None}) + sum(t is None for _, t in rows))
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,13 +1,15 @@
 """Stupid-backoff scores, toxicity, byte-level BPE."""
 
 import base64
+import hashlib
 import random
+import time
 
 import pytest
 
 from cohortloom.llm import op01_backoff, op02_toxicity as tox, op03_bpe as bpe
 
-from .fixtures import LONG, ODD, backoff, docs_of
+from .fixtures import LONG, ODD, backoff, docs_of, learned
 
 rng = random.Random(1)
 
@@ -39,15 +41,69 @@ TOXIC = "you are a stupid worthless idiot and pathetic scum"
 def test_folding_exceptions_and_threshold(spark):
     clean = "the clown fish swims by the trash can " * 3
     rows = [(1, TOXIC), (2, "y0u 4re a 5tup1d w0rthl3ss id10t"), (3, "ѕtupіd wоrthlеss"), (4, "stu​pid"), (5, clean), (6, "stupidity idiotic scummy"), (7, "idiot " + "fine " * 2000), (8, None), (9, ""), (10, "ÍDIÓT!"), (11, "trash, can")]
+    rows += [(20, "𝐢𝐝𝐢𝐨𝐭"), (21, "ⓘⓓⓘⓞⓣ"), (22, "ıdıot"), (23, "!diot"), (24, "i d i o t"), (25, "i.d.i.o.t"), (26, "i*di*ot"), (27, "idiooot"), (28, "i\u0301diot"), (29, "well!"), (30, "in a b c order 1 2 3")]
     got = {r.doc_id: r for r in tox.score_toxicity(docs_of(spark, rows)).collect()}
-    assert [i for i in sorted(got) if got[i].toxic] == [1, 2, 3, 4, 10]
+    assert [i for i in sorted(got) if got[i].toxic] == [1, 2, 3, 4, 10, *range(20, 29)]
     assert got[5].weight == 0 and got[11].weight == 0 and got[6].weight == 0 and got[7].weight == 5 and got[8].score is None
     left = tox.drop_toxic(docs_of(spark, rows))
-    assert sorted(r.doc_id for r in left.collect()) == [5, 6, 7, 8, 9, 11] and left.columns == docs_of(spark, rows).columns
+    assert sorted(r.doc_id for r in left.collect()) == [5, 6, 7, 8, 9, 11, 29, 30] and left.columns == docs_of(spark, rows).columns
+
+
+def test_both_foldings_are_equal(spark):
+    from pyspark.sql import functions as F
+
+    signs = list("abil1 dio.t!*_-'\"|@$ 0123ABSTRaeé") + list("ÀÉîøØßŒıİſ𝐢𝟙ⓘ⒤１ＩΣσς\u0301\u0308ΩжАЙ😀\x01\n\u200b\u00a0½²Ⅳﬁ")
+    rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))) for i in range(2000)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", tox.folded(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: tox.fold(t) for i, t in rows}
+
+
+def labelled(n=60):
+    """Documents of an invented language, every sixth with insults of it (labelled), and others without a label."""
+    rows, labels = [], []
+    for i in range(n):
+        w = [f"{rng.choice(['mora', 'tilu', 'gepo', 'sarn'])}{rng.choice(['e', 'as', 'ino', ''])}" for _ in range(80)]
+        if i % 6 == 0:
+            for k in range(0, 80, 4):
+                w[k] = rng.choice(["vrogak", "vrogakim", "vrogakos"])
+        rows.append((i, " ".join(w)))
+        if i % 3 < 2:
+            labels.append((i, int(i % 6 == 0)))
+    return rows, labels
+
+
+def test_lexicon_is_learned_from_labels(spark):
+    rows, labels = labelled()
+    odd = [(None, 1), (10_000, 1), (1, None), (2, 7)]
+    docs, marks = docs_of(spark, rows + [(900, None), (901, "")]), spark.createDataFrame(labels + odd + [(900, 1), (901, 0)], "doc_id long, toxic int")
+    got = tox.learn(docs, marks)
+    assert got == learned(rows, labels) and {t for t in got if t not in tox.seeds()} == {" vrog"}
+    flagged = tox.score_toxicity(docs, lexicon=got).filter("toxic").collect()
+    assert sorted(r.doc_id for r in flagged) == [i for i, _ in rows if i % 6 == 0]  # those without a label too
+    one = [(1, "vrogak " + "mora " * 30), (2, "vrogak vrogaki " + "mora " * 30)]  # a learned term alone isn't enough
+    assert [r.doc_id for r in tox.score_toxicity(docs_of(spark, one), lexicon=got).filter("toxic").collect()] == [2]
+    fewer = tox.learn(docs, marks, per_class=4)
+    first = sorted(labels, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest())
+    chosen = [x for k in (0, 1) for x in [x for x in first if x[1] == k][:4]]
+    assert fewer == learned(rows, chosen)
+    empty = spark.createDataFrame([], marks.schema)
+    assert tox.learn(docs, empty) == tox.learn(docs_of(spark, []), marks) == tox.learn(docs, marks.filter("toxic = 1")) == tox.seeds()
+
+
+def test_many_terms_and_exceptions_take_linear_time():
+    a = tox._automaton(*tox._frozen(None, None))
+    took = []
+    for n in (20_000, 80_000):
+        t = tox.fold("trash can idiot " * n)
+        began = time.process_time()
+        assert tox.weigh(t, a) == (5 * n, n, n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
 
 
 def test_toxicity_of_awkward_rows(spark):
-    assert tox.score_toxicity(docs_of(spark, ODD)).filter("toxic").count() == 0
+    got = tox.score_toxicity(docs_of(spark, ODD))
+    assert got.count() == len(ODD) and got.filter("toxic").count() == 0 and got.filter("toxic IS NULL").count() == 0
     assert tox.drop_toxic(docs_of(spark, ODD)).count() == len(ODD)
     assert tox.score_toxicity(docs_of(spark, [])).count() == tox.drop_toxic(docs_of(spark, [])).count() == 0
 
