@@ -8,8 +8,8 @@ from cohortloom.llm import common, op02_toxicity, op03_bpe, op08_exact, op09_min
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
-    return op02_toxicity.drop_toxic(docs)
+    """Documents that aren't toxic by the lexicon that their labels teach."""
+    return op02_toxicity.drop_toxic(docs, lexicon=op02_toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
