@@ -41,9 +41,9 @@ MAX_TOKENS = max(LONGEST.values())
 LONGEST_CHARS = 320
 _TRIGGER = re.compile(r"[0-9@=]")
 _OPEN = re.compile(r"[0-9@=]|(?P<key>(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?(?![^\W_]))|(?<![^\W_])(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza|eyJ)")
-_GROUP = re.compile(r"\s+[A-Z]{1,4}(?!\w)")
 _BEHIND = re.compile(r"(?:\s+[:=]+(?!\S))?\s+\S+")
 _LATIN = r"0-9A-Za-z_\u00c0-\u024f"
+_GROUP = re.compile(rf"\s+[A-Z]{{1,4}}(?![{_LATIN}_])")
 #: Words of one script with the signs that are inside entities; every other sign is a token.
 _TOKEN = re.compile(rf"\+?[{_LATIN}][{_LATIN}.@%+-]*|[^\W{_LATIN}]+|[^\w\s]")
 _SOFT = frozenset("=:/.@%+-#$!*~^\\_")
@@ -140,7 +140,7 @@ def features(s: str, before: str, n_tokens: int) -> list[str]:
     if re.fullmatch(r"[\d -]+", s) and 13 <= len(digits) <= 19:
         f += [f"luhn={luhn(digits)}", f"issuer={digits[0]}"]
     if re.fullmatch(r"\+?[\d ().-]+", s):
-        f += [f"dial={s[0] == '+'}", f"dialled={7 <= len(digits) <= 15}", "groups=" + "-".join(map(str, map(len, re.findall(r"\d+", s)[:6])))]
+        f += [f"dial={s[0] == '+'}", f"zero={s[0] == '0'}", f"dialled={7 <= len(digits) <= 15}", "groups=" + "-".join(map(str, map(len, re.findall(r"\d+", s)[:6])))]
     if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9 ]{10,38}", s):
         number = "".join(str(int(c, 36)) for c in (s[4:] + s[:4]).replace(" ", ""))
         f.append(f"mod97={int(number) % 97 == 1}")
@@ -151,6 +151,8 @@ def features(s: str, before: str, n_tokens: int) -> list[str]:
         f.append(f"spread={min(int(-sum(p * math.log2(p) for p in share)), 5)}")
     if _SECRET_PREFIX.match(s):
         f.append("prefix")
+    if s.isascii() and s.isalpha():
+        f += [f"letters={min(len(s), 16)}", f"consonants={min(max(map(len, re.findall(r'[^aeiou]+', s.lower())), default=0), 5)}"]
     head, sign, rest = s.partition("=")
     if sign:
         f += [f"keyword={bool(_KEYWORD.search(head.strip()))}", f"value={min(len(rest.strip().strip(chr(34))) // 4, 6)}", f"spaced={head.endswith(' ')}"]
@@ -335,14 +337,15 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         make = lambda a, n: "".join(rng.choice(a) for _ in range(n))
         name = rng.choice(["token", "password", "secret", "api_key", "passwd", "pwd", "auth_token"])
         value = rng.choice([make(hx, rng.choice([16, 18, 32, 40, 64])), make(up + hx, rng.randint(10, 40)), make("abcdefghij", 6) + d(2), make(up + hx, rng.choice([120, 450, 1000]))])
-        return rng.choice([lambda: "AKIA" + make(up, 16), lambda: "AKIA" + make(up, 16), lambda: "ghp_" + make(hx + "GHIJKLmnop", 36), lambda: f'{name} = "{value}"', lambda: f"{name}={value}", lambda: f"{name}={value}", lambda: f'{name}="{value}"', lambda: "eyJ" + ".".join(make(up + hx + "ghijk_-", rng.choice([20, 60, 300])) + make(up, 1) for _ in range(3))])()
+        return rng.choice([lambda: "AKIA" + make(up, 16), lambda: "AKIA" + make(up, 16), lambda: "ghp_" + make(hx + "GHIJKLmnop", 36), lambda: f'{name} = "{value}"', lambda: f"{name} = {value}", lambda: f"{name}={value}", lambda: f"{name}={value}", lambda: f'{name}="{value}"', lambda: "eyJ" + ".".join(make(up + hx + "ghijk_-", rng.choice([20, 60, 300])) + make(up, 1) for _ in range(3))])()
 
-    phone = lambda: rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.choice(['44', '49', '33', '34'])} {d(3)} {d(7)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", "+" + " ".join(d(2) for _ in range(rng.choice([5, 6, 7])))])
+    phone = lambda: rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.choice(['44', '49', '33', '34'])} {d(3)} {d(7)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", "+" + " ".join(d(2) for _ in range(rng.choice([5, 6, 7]))), *national()])
+    national = lambda: [f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(4)} {d(6)}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)}-{d(7)}"]
     make = {
         "email": lambda: f"{word()}{rng.choice(['', '.', '_', '+'])}{rng.choice([word(), d(2), word() + '.' + d(2)])}@{rng.choice([word(), 'mail' + d(1)])}.{rng.choice(['com', 'org', 'example.com', 'de', 'co.uk', 'example.org'])}",
         "phone": phone, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": lambda: split4(card()), "iban": iban, "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}", "secret": secret,
     }
-    other = [lambda: d(rng.randint(1, 9)), lambda: f"{rng.randint(1900, 2030)}", lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"x = {d(2)}", lambda: f"{word()}={word()}", lambda: f"{word()} = {word()}", lambda: f"@{word()}", lambda: f"{word()}{d(2)}", lambda: f"({d(1)})", lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", lambda: d(rng.choice([10, 11, 12, 17, 18, 20])), lambda: word() * rng.choice([40, 150]) + d(2), not_card, not_card, lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{word()} @ {word()}", lambda: f"{word()}-{d(3)}-{d(2)}", lambda: f"/{word()}?page={d(1)}"]
+    other = [lambda: d(rng.randint(1, 9)), lambda: f"{rng.randint(1900, 2030)}", lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{rng.randint(1, 99)} {d(3)} {d(3)}", lambda: f"{rng.randint(1900, 2030)} {rng.randint(1900, 2030)}", lambda: f"0.{d(2)} 0.{d(2)}", lambda: f"0{d(1)} 0{d(1)} 0{d(1)}", lambda: f"x = {d(2)}", lambda: f"{word()}={word()}", lambda: f"{word()} = {word()}", lambda: f"@{word()}", lambda: f"{word()}{d(2)}", lambda: f"({d(1)})", lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(3)}", lambda: d(rng.choice([10, 11, 12, 17, 18, 20])), lambda: word() * rng.choice([40, 150]) + d(2), not_card, not_card, lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{word()} @ {word()}", lambda: f"{word()}-{d(3)}-{d(2)}", lambda: f"/{word()}?page={d(1)}"]
     around = [("(", ")"), ("<", ">"), ("[", "]"), ('"', '"'), ("'", "'"), ("*", "*"), ("mailto:", ""), ("tel:", ""), ("http://", "/x"), ('{"' + word() + '":"', '"}'), (f'"{word()}":"', '",'), (word() + ",", "," + word()), (d(2) + ",", "," + d(3)), (word() + ";", ";"), (word() + "=", ""), ("?" + word() + "=", "&" + word() + "=" + d(1)), (word() + ":", ""), ("\u96fb\u8a71", "\u307e\u3067"), ("\u0442\u0435\u043b", ""), ("<b>", "</b>"), ("|", "|")]
     text, spans = word(), []
     for _ in range(rng.choice([1, 1, 1, 2, 2, 3])):
@@ -359,8 +362,9 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             text += rng.choice(["password", "Password", "token", "secret", "api_key", "passwd", "auth_token"])
             letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" + rng.choice(["", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])) for _ in range(rng.randint(14, 30)))
             text += (sign := rng.choice([": ", ":", ' : ', ': "', '":"', " "]))
-            s = rng.choice([letters, (word() + word() + word() + word() + "thehorsebattery")[:28], "".join(rng.choice("abcdefgh") for _ in range(6)) + d(2), word(), word()] if sign != " " else [letters, word() * 2 + "correcthorse", word(), word(), word(), d(rng.randint(1, 5)), f"{word()} {word()}"])
-            kind = "secret" if len(s) > 11 and " " not in s or sign != " " and s[-1].isdigit() else None
+            short = word() + rng.choice(["", word()]) + "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 5)))
+            s = rng.choice([letters, short, (word() + word() + word() + word() + "thehorsebattery")[:28], "".join(rng.choice("abcdefgh") for _ in range(6)) + d(2), word(), word()] if sign != " " else [letters, word() * 2 + "correcthorse", word(), word(), word(), d(rng.randint(1, 5)), f"{word()} {word()}"])
+            kind = "secret" if len(s) > 11 and " " not in s or sign != " " and (s[-1].isdigit() or s == short and len(s) > 7) else None
             tail = '"' if '"' in sign else ""
         if kind:
             spans.append((len(text), len(text) + len(s), kind))

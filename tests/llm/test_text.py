@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,9 +64,9 @@ def worth(model, segs, way):
 def test_decoding_and_normalisation_are_those_of_all_segmentations():
     r = np.random.default_rng(3)
     model = pii.train()
-    for text in ("1 2 3", "a=1 b2", "+1 (555) 123-4567"):
+    for text in ("1 2 3", "a=1 b2", "+1 (555) 123-4567", "1 22 333 4444 55555", "x1 (2) 3@4.de"):
         toks, before = next(iter(pii.runs(text)))
-        toks = toks[:3]
+        toks = toks[: 5 if text[0] in "1x" else 3]
         segs = pii.segments(text, toks, before)
         noisy = pii.Model(model.names, model.w + r.normal(0, 1, model.w.shape), model.a + r.normal(0, 1, model.a.shape))
         ways = [(worth(noisy, segs, w), w) for w in all_segmentations(len(toks), segs)]
@@ -86,10 +87,33 @@ def test_entities_have_their_places(spark):
 
 def test_entities_of_awkward_rows(spark):
     rows = [*ODD, (60, "1 " * 20_000), (61, "=" * 500), (62, "@ @ = = 5"), (63, "x" * 3000 + "1")]
-    assert pii.find_pii(docs_of(spark, rows)).filter("doc_id NOT IN (8, 9, 60)").count() >= 0
+    rows += [(64, "my server 1.2.3.\u00b2 here, \u0661\u0662.\u0663.\u0664.\u0665 and \u0664" + "\u0665" * 15), (65, "\x00 a@b.org"), (66, LONG + " jane@x.org"), (67, "pay 10.20.30.40"), (67, "pay 10.20.30.40")]
+    got = sorted(((r.doc_id, r.kind, r.start, r.end) for r in pii.find_pii(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted(((i, *e) for i, t in rows if t for e in pii.entities(t, pii.train())), key=repr)
+    assert (66, "email", len(LONG) + 1, len(LONG) + 11) in got and got.count((67, "ip", 4, 15)) == 2 and (65, "email", 2, 9) in got
+    assert not {g[0] for g in got} & {1, 2, 3, 4, 5, 6, 7, 10, 61}
     assert pii.find_pii(docs_of(spark, [])).count() == 0
 
 
+def test_signs_take_linear_time():
+    model = pii.train()
+    for sign in "=-(":
+        took = []
+        for n in (50_000, 200_000):
+            began = time.process_time()
+            assert pii.entities(sign * n + "a", model) == []
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5
+
+
+def test_entities_of_the_forms_people_write():
+    for text, want in (("call 020 7946 0958 now", ("phone", "020 7946 0958")), ("call 0171 234 5678 now", ("phone", "0171 234 5678")), ("or 01 23 45 67 89 then", ("phone", "01 23 45 67 89")),
+                       ("password: hunterxyz", ("secret", "hunterxyz")), ("token = " + "aB3" * 150, ("secret", "token = " + "aB3" * 150))):
+        assert entity_texts(text) == [want], text
+    for text in ("password: required", "password: optional", "in 12 345 678 cases of 2019 2020", "the 01 02 03 of it"):
+        assert entity_texts(text) == [], text
+
+
 def entity_texts(text):
     return [(k, text[s:e]) for k, s, e in pii.entities(text, pii.train())]
 
