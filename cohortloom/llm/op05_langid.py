@@ -5,12 +5,13 @@ bytes, predicts the bits. Decoding chooses the codeword of the least loss, each
 how well that bit's classifier did on rows held out of its fit. A text is ambiguous if the second codeword is
 nearer than MARGIN of the total weight, or if the best one's loss is above REJECT.
 
-The classifiers are fitted on at most ``per_class`` labelled rows of each language, chosen by a hash of the id;
-all rows are classified, whole texts.
+The classifiers are fitted on at most ``per_class`` different labelled rows of each language, those of the least hash
+of the id, then of the text; all rows are classified, whole texts.
 
 Defined cases: null texts and texts without a letter have no language (null) and are ambiguous; equal losses go to the
-first language by name, ambiguous; repeated rows are classified each; an empty table gives no rows; other
-columns are never looked at. Without any labelled row nothing can be fitted: ValueError.
+first language by name, ambiguous; repeated rows are classified each, and count once in the fit; an empty table gives no
+rows; other columns are never looked at. Without any labelled row that has a letter no language is known: all rows have
+null and are ambiguous.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ DIM = 4096
 PER_CLASS = 600
 MARGIN = 0.05
 REJECT = 0.9
+LETTER = r"\p{L}"
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[128:] = np.arange(128, 256)
 for _c in range(97, 123):
@@ -54,7 +56,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
 
 
 def features(arr) -> np.ndarray:
-    """Square roots of the shares of hashed byte n-grams; a row for every text, zero for those without a letter."""
+    """Square roots of the shares of hashed byte n-grams; a row for every text."""
     off, data = tokens.buffers(arr)
     n = len(off) - 1
     b = _LOWER[data]
@@ -73,8 +75,6 @@ def features(arr) -> np.ndarray:
         h = ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(20)
         count += np.bincount((doc[: len(g)] * DIM + h)[inside], minlength=n * DIM)
     out = count.reshape(n, DIM)
-    letters = np.add.reduceat(np.r_[b != 32, False], np.minimum(off[:-1], len(b))) * (np.diff(off) > 0)
-    out[letters == 0] = 0
     total = out.sum(1, keepdims=True)
     return np.sqrt(out / np.maximum(total, 1)).astype(np.float32)
 
@@ -122,25 +122,26 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 300) -> Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = PER_CLASS) -> Model:
     """A model of the languages in label_col, from at most per_class rows of each."""
-    rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    h = F.xxhash64(F.col(id_col), F.lit(5))
-    w = Window.partitionBy("label").orderBy("h")
-    limits = rows.select(F.col(label_col).cast("string").alias("label"), h.alias("h")).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_class).groupBy("label").agg(F.max("h").alias("most")).collect()
-    if not limits:
-        raise ValueError("no labelled rows")
+    text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string")
+    rows = docs.filter(label.isNotNull() & text.rlike(LETTER)).select(label.alias("label"), text.alias("text"), F.struct(F.xxhash64(F.col(f"`{id_col}`"), F.lit(5)).alias("h"), F.xxhash64(text).alias("th")).alias("key"))
+    w = Window.partitionBy("label").orderBy("key")
+    limits = rows.select("label", "key").distinct().withColumn("i", F.row_number().over(w)).filter(F.col("i") <= per_class).groupBy("label").agg(F.max("key").alias("most")).collect()
     chosen = F.lit(False)
     for r in limits:
-        chosen = chosen | ((F.col(label_col).cast("string") == r["label"]) & (h <= r["most"]))
+        chosen = chosen | ((F.col("label") == r["label"]) & (F.col("key") <= F.struct(F.lit(r["most"]["h"]).alias("h"), F.lit(r["most"]["th"]).alias("th"))))
 
     def featurise(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 x = (features(part.column(1)) * 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([tokens.pack(v) for v in x], pa.binary())], names=["label", "h", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([tokens.pack(v) for v in x], pa.binary())], names=["label", "h", "th", "x"])
 
-    got = rows.filter(chosen).select(F.col(label_col).cast("string").alias("label"), F.col(text_col), h.alias("h")).mapInArrow(featurise, "label string, h long, x binary").collect()
-    got.sort(key=lambda r: (r["h"], r["label"]))
+    some = rows.filter(chosen).select("label", "text", "key.h", "key.th").mapInArrow(featurise, "label string, h long, th long, x binary")
+    got = some.groupBy("label", "h", "th").agg(F.first("x").alias("x")).collect()  # equal keys once: at most per_class of a label
+    if not got:
+        return Model([], np.ones((0, 1), np.int8), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
+    got.sort(key=lambda r: (r["h"], r["th"], r["label"]))
     x = np.stack([tokens.unpack(bytes(r["x"]), np.uint16) for r in got]).astype(np.float32) / 65535
     return fit(x, [r["label"] for r in got])
 
@@ -149,12 +150,13 @@ def _classify(model: Model, margin: float, reject: float):
     def classify(batches):
         for b in batches:
             off, _ = tokens.buffers(b.column(1))
+            letter = b.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             at = 0
             while at < b.num_rows:
                 to = min(b.num_rows, at + 128, max(at + 1, int(np.searchsorted(off, off[at] + (1 << 19), "right")) - 1))
                 x = features(b.column(1).slice(at, to - at))
-                loss = model.losses(x)
-                none = x.sum(1) == 0
+                none = ~letter[at:to] if model.languages else np.ones(len(x), bool)
+                loss = model.losses(x) if model.languages else np.zeros((len(x), 1))
                 best = loss.argmin(1)
                 ordered = np.sort(loss, 1)
                 gap = ordered[:, 1] - ordered[:, 0] if loss.shape[1] > 1 else np.ones(len(x))
@@ -168,7 +170,7 @@ def _classify(model: Model, margin: float, reject: float):
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, reject: float = REJECT) -> DataFrame:
     """(doc_id, language, loss, margin, ambiguous) of every row; narrow, no shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{text_col}`").rlike(LETTER).alias("letter"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("language", T.StringType()), T.StructField("loss", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return rows.mapInArrow(_classify(model, margin, reject), schema)
 

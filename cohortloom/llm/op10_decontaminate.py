@@ -6,8 +6,8 @@ ordered by rarity in the corpus, and a text window can only hold THRESHOLD of th
 with fewer n-grams than needed are out (length bound), and a match at position q only allows windows of the
 item's size that begin within the item's size before q (positional bound). These windows are verified exactly.
 
-The item side goes to every task only while it has at most ``local_grams`` n-grams; beyond that the same join is
-a shuffle by n-gram, with equal results.
+The item side goes to every worker only while it has at most ``local_grams`` n-grams of LOCAL_CHARS characters on average;
+beyond that the same join is a shuffle by n-gram, with equal results.
 
 Defined cases: null and empty texts and items match nothing; a text shorter than an item is one window; repeated
 rows match each; repeated items with one id count as one; an empty table gives no rows; other columns stay.
@@ -15,6 +15,7 @@ rows match each; repeated items with one id count as one; an empty table gives n
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -28,7 +29,8 @@ from . import common, tokens
 
 N = 3
 THRESHOLD = 0.8
-LOCAL_GRAMS = 1_000_000
+#: n-grams of the item side that every task may hold, and characters of each on average: about 100 MB a worker.
+LOCAL_GRAMS, LOCAL_CHARS = 200_000, 64
 
 
 def item_grams(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -81,15 +83,31 @@ class Items:
 
 
 def best_window(hits: list[tuple[int, int]], size: int, n: int, length: int, near: list[int]) -> tuple[int, int]:
-    """(most distinct n-grams in a window, its first word); hits: (position, n-gram) in order; near: positions of prefix n-grams."""
-    best, at = 0, 0
-    last = max(0, length - size)
-    for p in sorted({min(h, last) for h, _ in hits}):
-        if not any(p <= q <= p + size - n for q in near):
+    """(most distinct n-grams in a window, its first word); hits: (position, n-gram) in order; near: positions of prefix n-grams in order.
+
+    Windows begin at hits; both of a window's ends and the next prefix n-gram only move on, so time is linear.
+    """
+    best, at, last, span = 0, 0, max(0, length - size), size - n
+    inside: dict[int, int] = defaultdict(int)
+    low = high = q = 0
+    previous = -1
+    for h, _ in hits:
+        p = min(h, last)
+        if p == previous:
             continue
-        k = len({g for h, g in hits if p <= h <= p + size - n})
-        if k > best:
-            best, at = k, p
+        previous = p
+        while high < len(hits) and hits[high][0] <= p + span:
+            inside[hits[high][1]] += 1
+            high += 1
+        while low < high and hits[low][0] < p:
+            inside[hits[low][1]] -= 1
+            if not inside[hits[low][1]]:
+                del inside[hits[low][1]]
+            low += 1
+        while q < len(near) and near[q] < p:
+            q += 1
+        if len(inside) > best and q < len(near) and near[q] <= p + span:
+            best, at = len(inside), p
     return best, at
 
 
@@ -123,9 +141,21 @@ def verify(items: Items, words, starts) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _count(rows: list[tuple]):
+_built: dict[tuple, Items] = {}
+
+
+def _items(shared, threshold: float) -> Items:
+    """The item side of a broadcast (rows, document counts), built once a worker."""
+    key = (shared.value[0], threshold)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(shared.value[1], threshold, shared.value[2])
+    return _built[key]
+
+
+def _count(shared):
     def count(batches):
-        items = Items(rows, 1.0)
+        items = _items(shared, 1.0)
         total: dict[str, int] = defaultdict(int)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -140,9 +170,9 @@ def _count(rows: list[tuple]):
     return count
 
 
-def _match(rows: list[tuple], threshold: float, df: dict[str, int], item_type: pa.DataType):
+def _match(shared, threshold: float, item_type: pa.DataType):
     def match(batches):
-        items = Items(rows, threshold, df)
+        items = _items(shared, threshold)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -161,22 +191,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.filter(F.col(text_col).isNotNull()).select(*common.row_key(id_col, text_col), common.normalized(F.col(text_col)).alias("__text")).filter("__text <> ''")
     item = T.StructField("item_id", benchmark.schema[item_col].dataType)
     schema = T.StructType([rows.schema["__id"], rows.schema["__th"], item, *(T.StructField(x, T.LongType()) for x in ("n_shared", "n_grams", "first_word"))])
-    size = grams.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
-    if size <= local_grams:
-        small = [(r["item"], r["n"], r["size"], list(r["grams"])) for r in grams.collect()]
-        df = {r["gram"]: r["df"] for r in rows.mapInArrow(_count(small), "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
+    size, letters = grams.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.sum(F.length(F.array_join("grams", ""))), F.lit(0))).first()
+    if size <= local_grams and letters <= local_grams * LOCAL_CHARS:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        return rows.mapInArrow(_match(small, threshold, df, to_arrow_type(item.dataType)), schema)
+        small, send = [(r["item"], r["n"], r["size"], list(r["grams"])) for r in grams.collect()], docs.sparkSession.sparkContext.broadcast
+        shared = send((uuid.uuid4().hex, small, None))
+        df = {r["gram"]: r["df"] for r in rows.mapInArrow(_count(shared), "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
+        return rows.mapInArrow(_match(send((uuid.uuid4().hex, small, df)), threshold, to_arrow_type(item.dataType)), schema)
     return _contaminated_by_shuffle(rows, grams, threshold).select(schema.names)
 
 
+def _best_windows(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            best = []
+            for cell in part.column(part.num_columns - 1):
+                x = cell.as_py()
+                code: dict[str, int] = {}
+                best.append(best_window([(h["pos"], code.setdefault(h["gram"], len(code))) for h in x["hits"]], x["size"], x["n"], x["length"], x["near"]))
+            more = [pa.array([x[i] for x in best], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=[*part.schema.names[:-1], "k", "at"])
+
+
 def _contaminated_by_shuffle(rows: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """contaminated() for an item side of any size, all by joins on n-grams."""
     w = rows.select("__id", "__th", F.split("__text", " ").alias("w")).withColumn("length", F.size("w"))
     kind = "array<struct<n:int,pos:bigint,gram:string>>"
     gram = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
-    every = F.concat(*[F.when(F.size("w") >= n, gram(n)).otherwise(F.array().cast(kind)) for n in range(1, N + 1)])
+    used = [r["n"] for r in grams.select("n").distinct().collect()]  # of 1 to N
+    every = F.concat(F.array().cast(kind), *[F.when(F.size("w") >= n, gram(n)).otherwise(F.array().cast(kind)) for n in sorted(used)])
     occ = w.select("__id", "__th", "length", F.explode(every).alias("o")).select("__id", "__th", "length", "o.*")
     numbered, _ = common.materialize(grams.withColumn("iid", F.monotonically_increasing_id()), "items")
     parts = numbered.select("iid", "item", "n", "size", F.size("grams").alias("total"), F.explode("grams").alias("gram"))
@@ -188,17 +233,14 @@ def _contaminated_by_shuffle(rows: DataFrame, grams: DataFrame, threshold: float
     meta = ranked.select("iid", "n", "gram", "item", "size", "total", "need")
     hits = occ.join(meta, ["n", "gram"]).filter(F.col("length") - F.col("n") + 1 >= F.col("need"))
     hits = hits.join(near.withColumnsRenamed({"__id": "n_id", "__th": "n_th", "iid": "n_iid"}), (F.col("iid") == F.col("n_iid")) & F.col("__id").eqNullSafe(F.col("n_id")) & (F.col("__th") == F.col("n_th")))
-    got = hits.groupBy("iid", "__id", "__th").agg(*[F.first(c).alias(c) for c in ("item", "n", "size", "total", "need", "length", "near")], F.collect_set(F.struct("pos", "gram")).alias("hits"), F.max(F.lit(1)).alias("one"))
-    last = F.greatest(F.lit(0), F.col("length") - F.col("size")).cast("long")
-    begins = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.least(h["pos"], last))))
-    span = F.col("size") - F.col("n")
-    begins = F.filter(begins, lambda p: F.exists("near", lambda q: (p <= q) & (q <= p + span)))
-    rated = F.transform(begins, lambda p: F.struct(F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: (h["pos"] >= p) & (h["pos"] <= p + span)), lambda h: h["gram"]))).cast("long").alias("k"), (-p).alias("back")))
-    best = got.withColumn("best", F.array_max(rated)).filter(F.col("best.k") >= F.col("need"))
+    got = hits.groupBy("iid", "__id", "__th").agg(*[F.first(c).alias(c) for c in ("item", "n", "size", "total", "need", "length", "near")], F.collect_set(F.struct("pos", "gram")).alias("hits"))
+    got = got.select("iid", "__id", "__th", "item", F.col("total").cast("long").alias("total"), F.col("need").cast("long").alias("need"), F.struct("n", "size", "length", F.array_sort("near").alias("near"), F.array_sort("hits").alias("hits")).alias("found"))
+    schema = T.StructType([*got.schema.fields[:-1], T.StructField("k", T.LongType()), T.StructField("at", T.LongType())])
+    best = got.mapInArrow(_best_windows, schema).filter(F.col("k") >= F.col("need"))
     # identical rows were one so far
     copies = rows.groupBy("__id", "__th").agg(F.count(F.lit(1)).alias("copies")).withColumnsRenamed({"__id": "c_id", "__th": "c_th"})
     best = best.join(copies, F.col("__id").eqNullSafe(F.col("c_id")) & (F.col("__th") == F.col("c_th")))
-    return best.select("__id", "__th", F.col("item").alias("item_id"), F.col("best.k").alias("n_shared"), F.col("total").cast("long").alias("n_grams"), (-F.col("best.back")).alias("first_word"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).drop("i")
+    return best.select("__id", "__th", F.col("item").alias("item_id"), F.col("k").alias("n_shared"), F.col("total").alias("n_grams"), F.col("at").alias("first_word"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).drop("i")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

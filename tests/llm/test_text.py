@@ -205,15 +205,58 @@ def test_decoding_takes_the_codeword_of_the_least_loss(model_and_held):
             assert row[k] == pytest.approx(want, rel=1e-4)
 
 
-def test_languages_of_awkward_rows(spark, model_and_held):
+def test_languages_of_awkward_rows(spark, model_and_held, tmp_path):
     got = lid.identify(docs_of(spark, ODD), model_and_held[0]).collect()
     assert len(got) == len(ODD)
     for r in got:
         if r.doc_id in (1, 2, 3, 4, 5):
             assert r.language is None and r.ambiguous
     assert lid.identify(docs_of(spark, []), model_and_held[0]).count() == 0
-    with pytest.raises(ValueError):
-        lid.train(docs_of(spark, [(1, "text")]))
+    assert [r.language for r in lid.identify(docs_of(spark, [(1, "\u2014 100 \u20ac \u2026 12%")]), model_and_held[0]).collect()] == [None]
+    for docs in (docs_of(spark, []), docs_of(spark, [(1, "text")]), docs_of(spark, [(1, "\u2014 100 \u20ac", "en")])):
+        none = lid.train(docs)
+        assert none.languages == [] and [(r.language, r.ambiguous) for r in lid.identify(docs, none).collect()] == [(None, True)] * docs.count()
+    docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert lid.query(spark, str(tmp_path)).count() == 0
+
+
+def test_bound_of_the_fit_holds_for_equal_ids(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(lid, "fit", lambda x, y: fitted.append(sorted(y)))
+    same = [(1, f"the text {k % 9} of one", "en") for k in range(90)] + [(k, "der Text ist einer", "de") for k in range(3)]
+    lid.train(docs_of(spark, same), per_class=5)
+    assert fitted == [["de"] * 3 + ["en"] * 5]
+
+
+def test_query_is_brute_force(spark, tmp_path):
+    """Hashed n-grams counted one by one, losses of all codewords, for every row of a small table."""
+    vocabulary = {"en": "the of and stone river word".split(), "de": "der und ist stein fluss wort".split(), "fr": "le et est pierre fleuve mot".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[k]) for _ in range(30)), k) for i, k in enumerate(list(vocabulary) * 12)] + [(90, None, "en"), (91, "", None), (92, "le fleuve", None), (92, "le fleuve", None)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    model = lid.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = []
+    for i, t, _ in rows:
+        if not t:
+            want.append((i, None))
+            continue
+        b, count = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in t.encode()), [0.0] * lid.DIM
+        for w in (1, 2, 3):
+            for at in range(len(b) - w + 1):
+                g = b[at : at + w]
+                if w > 1 and g[0] == 32 and g[-1] == 32:
+                    continue
+                v = int.from_bytes(g, "little")
+                if w == 1:
+                    h = v * 0x9E3779B1 % 2**32 >> 20
+                else:
+                    h = (v ^ (w << 28) % 2**32) * 0x85EBCA6B % 2**32
+                    h = (h ^ (h >> 13)) * 0xC2B2AE35 % 2**32 >> 20
+                count[h] += 1
+        f = np.sqrt(np.array(count) / sum(count)) @ model.w + model.b
+        loss = [float((np.log1p(np.exp(-f * c)) * model.weight).sum()) for c in model.code]
+        want.append((i, model.languages[loss.index(min(loss))]))
+    got = lid.query(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.language) for r in got), key=repr) == sorted(want, key=repr)
 
 
 # decontamination
@@ -248,16 +291,37 @@ def test_leaks_are_those_of_all_windows(spark, local_grams):
 
 @pytest.mark.parametrize("local_grams", [10**6, 0])
 def test_leaks_of_awkward_rows(spark, local_grams):
-    odd = [r for r in ODD if r[1] != LONG] if not local_grams else ODD
-    b = bench_of(spark, [(1, "one"), (1, "one"), (2, "a text without an id"), (None, "one")])
+    odd = ODD
+    part = " ".join(LONG.split()[70_000:70_040])
+    b = bench_of(spark, [(1, "one"), (1, "one"), (2, "a text without an id"), (3, part), (None, "one")])
     got = dec.contaminated(docs_of(spark, odd), b, local_grams=local_grams).collect()
-    assert sorted(((r["__id"], r.item_id) for r in got), key=repr) == sorted([(6, 1), (7, 1), (7, 1), (None, 2)], key=repr)
+    assert sorted(((r["__id"], r.item_id) for r in got), key=repr) == sorted([(6, 1), (7, 1), (7, 1), (8, 3), (9, 3), (None, 2)], key=repr)
     kept = dec.decontaminate(docs_of(spark, odd), b, local_grams=local_grams)
-    assert kept.count() == len(odd) - 4 and kept.columns == docs_of(spark, odd).columns
+    assert kept.count() == len(odd) - 6 and kept.columns == docs_of(spark, odd).columns
     for docs, items in ((docs_of(spark, []), b), (docs_of(spark, odd), bench_of(spark, []))):
         assert dec.contaminated(docs, items, local_grams=local_grams).count() == 0
 
 
+def test_windows_are_those_of_all_begins_in_linear_time():
+    for _ in range(300):
+        size, length = rng.randint(3, 12), rng.randint(1, 40)
+        hits = sorted({(rng.randrange(length), rng.randrange(4)) for _ in range(rng.randint(1, 30))})
+        near = sorted({h for h, _ in hits if rng.random() < 0.3})
+        last, want = max(0, length - size), (0, 0)
+        for p in sorted({min(h, last) for h, _ in hits}):
+            k = len({g for h, g in hits if p <= h <= p + size - 3})
+            if k > want[0] and any(p <= q <= p + size - 3 for q in near):
+                want = (k, p)
+        assert dec.best_window(hits, size, 3, length, near) == want
+    took = []
+    for n in (20_000, 80_000):
+        hits = [(i, i % 7) for i in range(n)]
+        began = time.process_time()
+        assert dec.best_window(hits, 5000, 3, n, list(range(0, n, 2))) == (7, 0)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 # the salvage reader
 
 
