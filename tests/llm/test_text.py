@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -390,14 +391,96 @@ def test_ranges_give_the_same_records(spark, tmp_path):
     data = b"".join([*parts[:4], b"rubbish" * 9, *parts[4:8], parts[8][:20], *parts[9:]])
     (tmp_path / "a.warc").write_bytes(data)
     whole = [(x[0], x[1], x[2]) for x in warc.salvage(data)]
-    for size in (64, 300, 10**6):
-        read = warc.read_warc(spark, [str(tmp_path / "a.warc")], size).cache()
+    for size, path in ((64, "a.warc"), (300, "a.warc"), (10**6, "a.warc"), (300, "file://")):
+        read = warc.read_warc(spark, [f"file://{tmp_path}/a.warc" if ":" in path else str(tmp_path / path)], size).cache()
         assert sorted((r.byte_offset, r.byte_length) for r in read.filter("kind = 'record'").collect()) == sorted((a, n) for k, a, n in whole if k == "record")
         covered = sum(r.byte_length for r in warc.whole_gaps(read).collect())
         assert covered == sum(n for k, _, n in whole if k == "gap")
         read.unpersist()
 
 
+def plain_reader(data):
+    """Records of a file by trying every byte, from a reader that knows nothing but the formats."""
+    import base64
+    import gzip
+    import hashlib
+    import io
+
+    def plain(b):
+        head, end, rest = b.partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        if not end or not lines[0].startswith(b"WARC/") or lines[0][5:].count(b".") != 1 or not lines[0][5:].replace(b".", b"").isdigit():
+            return None
+        h = {}
+        for line in lines[1:]:
+            k, colon, v = line.partition(b":")
+            if not colon:
+                return None
+            h[k.strip().lower()] = v.strip()
+        n = h.get(b"content-length", b"-")
+        if not n.isdigit() or b"warc-type" not in h or rest[int(n) : int(n) + 4] != b"\r\n\r\n":
+            return None
+        block, said = rest[: int(n)], h.get(b"warc-block-digest", b"")
+        if said.startswith(b"sha1:") and said[5:] != base64.b32encode(hashlib.sha1(block).digest()):
+            return None
+        return len(head) + 4 + int(n) + 4, block
+
+    out, at = [], 0
+    while at < len(data):
+        b = data[at:]
+        got = plain(b)
+        if not got and b.startswith(b"\x1f\x8b\x08"):
+            for end in range(18, len(b) + 1):  # the shortest prefix that is a whole member
+                try:
+                    inner = gzip.GzipFile(fileobj=io.BytesIO(b[:end])).read()
+                except (EOFError, OSError, zlib.error):
+                    continue
+                got = plain(inner)
+                got = got and got[0] == len(inner) and (end, got[1])
+                break
+        if got:
+            out.append((at, got[0], got[1]))
+        at += got[0] if got else 1
+    return out
+
+
+def test_query_is_that_of_a_plain_reader(spark, tmp_path):
+    import hashlib
+
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(20)] + [(20, None, None), (None, "u", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.query(spark, str(tmp_path)).collect()
+    found = sorted(((r.page_id, r.byte_offset, r.byte_length, r.block_sha256) for r in got if r.kind == "record"), key=repr)
+    want = [(i, at, n, hashlib.sha256(block).hexdigest()) for i, u, h in rows for at, n, block in plain_reader(warc.damaged_capture(i, u, h))]
+    assert found == sorted(want, key=repr)
+    for i, u, h in rows:
+        mine = [r for r in got if r.page_id == i]
+        assert sum(r.byte_length for r in mine) == len(warc.damaged_capture(i, u, h))
+
+
+def test_headers_versions_and_digests():
+    long = b"WARC/0.18\r\nWARC-Type: response\r\nX: " + b"y" * 200_000 + b"\r\n folded\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    (got,) = warc.salvage(long)
+    assert got[:3] == ("record", 0, len(long)) and got[3]["x"].endswith("y folded") and got[4] == b"ok"
+    block = b"some block"
+    for said, fine in (("sha1:" + __import__("hashlib").sha1(block).hexdigest(), True), ("md5:" + "0" * 32, False), ("sha256:abc", False), ("crc:1", True), ("", True)):
+        r = f"WARC/1.0\r\nWARC-Type: r\r\nWARC-Block-Digest: {said}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        assert [x[0] for x in warc.salvage(r)] == ["record" if fine else "gap"], said
+
+
+def test_large_files_take_linear_time():
+    one = warc.write_record("response", "urn:1", "u", rng.randbytes(3000))
+    rubbish = [b"\x1f\x8b\x08" * 20_000, b"WARC/1.0\r\na: b\r\n" * 4000]
+    for data, records in ((one, 1), *((x, 0) for x in rubbish)):
+        took = []
+        for n in (500, 2000) if records else (1, 4):
+            began = time.process_time()
+            got = list(warc.salvage(data * n))
+            took.append(time.process_time() - began)
+            assert sum(x[0] == "record" for x in got) == records * n and sum(x[2] for x in got) == n * len(data)
+        assert took[1] < 8 * took[0] + 0.5, data[:10]
+
+
 def test_contents_with_nulls_and_empty_tables(spark):
     schema = "page_id long, content binary, file string, kind string"
     one = warc.write_record("response", "urn:1", "u", b"block")
@@ -411,5 +494,5 @@ def test_captures_of_pages_lose_only_what_is_damaged(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * 20) for i in range(64)] + [(None, None, None)], "page_id long, url string, html string")
     got = warc.read_contents(warc.captures(pages), "page_id").filter("kind = 'record'").groupBy("file").count().collect()
     assert len(got) == 65 and all(r["count"] in (2, 3) for r in got)
-    damaged = {i for i in [*range(64), None] if warc.DAMAGE[__import__("zlib").crc32(str(i).encode()) % 8] not in ("none", "rubbish before")}
+    damaged = {i for i in [*range(64), None] if warc.DAMAGE[zlib.crc32(str(i).encode()) % 8] not in ("none", "rubbish before")}
     assert {r.file for r in got if r["count"] == 2} == damaged
