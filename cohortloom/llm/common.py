@@ -76,6 +76,11 @@ def parts(df: DataFrame, bytes_each: int) -> int:
     return max(1, min(2**20, -(-input_bytes(df) // bytes_each)))
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of df's texts: the session's number, and no fewer than one for each 8 MB as stored."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(df, 8 << 20))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -161,9 +166,8 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(cells, pa.binary())], names=["chunk", "packed"])
 
 
-def laid_out(rows: DataFrame) -> DataFrame:
-    """(chunk, packed) of rows (chunk, doc_id, text), shuffled by chunk; each cell holds a batch's rows of a chunk, compressed together."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def laid_out(rows: DataFrame, n: int) -> DataFrame:
+    """(chunk, packed) of rows (chunk, doc_id, text), in n partitions by chunk; each cell holds a batch's rows of a chunk, compressed together."""
     return rows.mapInArrow(_pack, "chunk long, packed binary").repartition(n, "chunk")
 
 

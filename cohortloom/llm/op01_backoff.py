@@ -124,7 +124,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_order1.., log_score, mean_log_score) of every row; n_orderK: words scored by a K-gram."""
     n_chunks = common.parts(docs, chunk_bytes)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.coalesce(common.normalized(F.col(text_col)), F.lit("")).alias("text"))
-    laid = common.laid_out(rows)
+    laid = common.laid_out(rows, common.partitions(docs))
     asked = laid.groupBy("chunk").applyInArrow(_ask(n_chunks, order), "bucket long, chunk long, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, totals binary")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("partial", T.DoubleType()), *(T.StructField(f"n_order{k}", T.LongType()) for k in range(1, order + 1))])

@@ -7,8 +7,13 @@ of MIN_WORDS words around them; equal windows are paired with their first place
 pairs that go on word by word are the maximal exact repeats of that place.
 
 Probes and index meet by hash range: a chunk of documents sends its window hashes packed and sorted, with a mark
-for blocks, and gets one bit for each. No pairs of places are listed, so a passage of thousands of places costs
-one entry each.
+for blocks, and gets one bit for each. Then it sends each different window around the hits once, with its first place in
+the chunk, and gets the first place in the corpus of those that occur twice. So a passage costs an entry a chunk, however
+many places it has, and no pairs of places are listed.
+
+Each place has only the first place as its partner. A repeat is thus cut where the first place of its windows changes:
+a passage of B and C of which a part of MIN_WORDS words or more stands earlier in A is reported in pieces, those of B and
+of A. All words are covered, and pairs of later places follow from their common first one.
 
 Defined cases: null texts and texts of fewer than MIN_WORDS words have no rows; a null id comes before all; the
 first place (least id, then position) of a passage has no row, all others do, also those within the same
@@ -111,55 +116,85 @@ def _extend(n_buckets: int, block: int, min_words: int):
         g, pos = tokens.ngrams(words, starts, min_words)
         pick = near[pos]
         g, pos = g[pick], pos[pick]
-        doc = tokens.doc_of(starts)[pos]
-        ids = docs.column("doc_id").to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-        place = pos - starts[:-1][doc] if len(doc) else pos
-        o = np.argsort(g)
-        g, ids, place = g[o], ids[o], place[o].astype(np.uint32)
+        ids, place = _places(docs, starts, pos)
+        o = np.lexsort((place, ids, g))
+        g, ids, place = g[o], ids[o], place[o]
+        at = _distinct_at(g)
+        many = np.diff(np.r_[at, len(g)]) > 1
+        g, ids, place = g[at], ids[at], place[at].astype(np.uint32)
         cut = np.r_[np.searchsorted(g, bounds), len(g)]
         used = np.flatnonzero(np.diff(cut))
         part = lambda x, f: pa.array([f(x[cut[b] : cut[b + 1]]) for b in used], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), docs.column("chunk")[0].as_py() if docs.num_rows else 0), pa.int64()), "windows": part(g, tokens.pack_sorted), "ids": part(ids, tokens.pack), "places": part(place, tokens.pack)})
+        return pa.table({
+            "bucket": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), docs.column("chunk")[0].as_py() if docs.num_rows else 0), pa.int64()),
+            "windows": part(g, tokens.pack_sorted), "many": part(many, _bits), "ids": part(ids, tokens.pack), "places": part(place, tokens.pack)})
 
     return extend
 
 
+def _bits(x: np.ndarray) -> bytes:
+    return tokens.pack(np.packbits(x))
+
+
+def _places(docs: pa.Table, starts: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, first word within its text) of windows."""
+    if not len(pos):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = tokens.doc_of(starts)[pos]
+    return docs.column("doc_id").to_numpy()[doc], pos - starts[:-1][doc]
+
+
 def _pair(t: pa.Table) -> pa.Table:
-    """For each place of a repeated window but the first, the first; packed by chunk."""
-    load = lambda c, f: [f(x.as_py()) for x in t.column(c)]
-    keys = load("windows", tokens.unpack_sorted)
-    of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    key = np.concatenate(keys)
+    """For each chunk its windows that occur twice or more, their first places, and whether that one is the chunk's own."""
+    keys = [tokens.unpack_sorted(x.as_py()) for x in t.column("windows")]
+    size = [len(k) for k in keys]
+    of, key = np.repeat(np.arange(len(keys), dtype=np.int32), size), np.concatenate(keys)
     del keys
-    ids = np.concatenate(load("ids", lambda x: tokens.unpack(x, np.int64)))
-    place = np.concatenate(load("places", lambda x: tokens.unpack(x, np.uint32)))
-    o = np.argsort(key)
+    many = np.concatenate([np.unpackbits(tokens.unpack(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(t.column("many"), size)])
+    o = np.argsort(key, kind="stable")
     at = _distinct_at(key[o])
-    size = np.diff(np.r_[at, len(o)])
-    o = o[np.repeat(size > 1, size)]
-    o = o[np.lexsort((place[o], ids[o], key[o]))]
-    at = _distinct_at(key[o])
-    size = np.diff(np.r_[at, len(o)])
-    first = np.repeat(o[at], size)
-    later = np.ones(len(o), bool)
-    later[at] = False
-    o, first = o[later], first[later]
-    order = np.lexsort((place[o], ids[o], of[o]))
-    o, first = o[order], first[order]
-    cut = np.searchsorted(of[o], np.arange(t.num_rows + 1))
+    group = np.diff(np.r_[at, len(o)])
+    o = o[np.repeat((group > 1) | np.bitwise_or.reduceat(many[o], at), group)]
+    key, of = key[o], of[o]
+    load = lambda c, kind: np.concatenate([tokens.unpack(x.as_py(), kind) for x in t.column(c)])[o]
+    ids, place = load("ids", np.int64), load("places", np.uint32)
+    del o
+    o = np.lexsort((of, place, ids, key))
+    key, of, ids, place = key[o], of[o], ids[o], place[o]
+    at = _distinct_at(key)
+    first = np.repeat(at, np.diff(np.r_[at, len(key)]))
+    own = first == np.arange(len(key))
+    back = np.argsort(of, kind="stable")  # by chunk, keys still in order
+    cut = np.searchsorted(of[back], np.arange(t.num_rows + 1))
     used = np.flatnonzero(np.diff(cut))
-    part = lambda x: pa.array([tokens.pack(x[cut[i] : cut[i + 1]]) for i in used], pa.binary())
-    step = lambda x: np.diff(x, prepend=x.dtype.type(0))
-    ids_part = pa.array([tokens.pack(step(ids[o[cut[i] : cut[i + 1]]])) for i in used], pa.binary())
-    return pa.table({"chunk": t.column("chunk").take(pa.array(used)), "ids": ids_part, "places": part(place[o]), "ref_ids": part(ids[first]), "ref_places": part(place[first])})
+    part = lambda x, f: pa.array([f(x[back[cut[i] : cut[i + 1]]]) for i in used], pa.binary())
+    return pa.table({"chunk": t.column("chunk").take(pa.array(used)), "windows": part(key, tokens.pack_sorted), "own": part(own, _bits), "ref_ids": part(ids[first], tokens.pack), "ref_places": part(place[first], tokens.pack)})
+
+
+RESULT = ("doc_id", "start_word", "n_words", "ref_doc_id", "ref_start_word")
 
 
 def _runs(min_words: int):
-    def runs(t: pa.Table) -> pa.Table:
-        load = lambda c, kind: np.concatenate([tokens.unpack(x.as_py(), kind) for x in t.column(c)])
-        ids = np.concatenate([np.cumsum(tokens.unpack(x.as_py(), np.int64)) for x in t.column("ids")])
-        place, ref, ref_place = load("places", np.uint32).astype(np.int64), load("ref_ids", np.int64), load("ref_places", np.uint32).astype(np.int64)
-        shift = ref_place - place
+    def runs(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not (docs.num_rows and answers.num_rows):
+            return pa.table({c: pa.array([], pa.int64()) for c in RESULT})
+        keys = [tokens.unpack_sorted(x.as_py()) for x in answers.column("windows")]
+        own = np.concatenate([np.unpackbits(tokens.unpack(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(answers.column("own"), keys)])
+        load = lambda c, kind: np.concatenate([tokens.unpack(x.as_py(), kind) for x in answers.column(c)])
+        key, ref_ids, ref_places = np.concatenate(keys), load("ref_ids", np.int64), load("ref_places", np.uint32).astype(np.int64)
+        o = np.argsort(key)
+        key, own, ref_ids, ref_places = key[o], own[o], ref_ids[o], ref_places[o]
+        _, starts, g, pos = _windows(docs, min_words)
+        pick = _member(g, key)
+        g, pos = g[pick], pos[pick]
+        ids, place = _places(docs, starts, pos)
+        k = np.searchsorted(key, g)
+        # the corpus's first place of each window has no row: it is one of this chunk's, if the chunk owns it
+        first = np.flatnonzero(own[k] & (ids == ref_ids[k]) & (place == ref_places[k]))
+        keep = np.ones(len(k), bool)
+        keep[first[np.unique(k[first], return_index=True)[1]]] = False
+        k, ids, place = k[keep], ids[keep], place[keep]
+        ref, shift = ref_ids[k], ref_places[k] - place
         o = np.lexsort((place, shift, ref, ids))
         ids, place, ref, shift = ids[o], place[o], ref[o], shift[o]
         # the windows of repeated rows are equal in all; a run's k-th copy goes with the others' k-th
@@ -169,10 +204,10 @@ def _runs(min_words: int):
             copy = np.arange(len(ids)) - np.repeat(at, np.diff(np.r_[at, len(ids)]))
             o = np.lexsort((place, copy, shift, ref, ids))
             ids, place, ref, shift = ids[o], place[o], ref[o], shift[o]
-        go = np.r_[False, (ids[1:] == ids[:-1]) & (ref[1:] == ref[:-1]) & (shift[1:] == shift[:-1]) & (place[1:] == place[:-1] + 1)]
+        go = np.r_[False, (ids[1:] == ids[:-1]) & (ref[1:] == ref[:-1]) & (shift[1:] == shift[:-1]) & (place[1:] == place[:-1] + 1)][: len(ids)]
         at = np.flatnonzero(~go)
         size = np.diff(np.r_[at, len(ids)])
-        return pa.table({"doc_id": ids[at], "start_word": place[at], "n_words": size + min_words - 1, "ref_doc_id": ref[at], "ref_start_word": place[at] + shift[at]})
+        return pa.table(dict(zip(RESULT, (ids[at], place[at], size + min_words - 1, ref[at], place[at] + shift[at]))))
 
     return runs
 
@@ -181,15 +216,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, start_word, n_words, ref_doc_id, ref_start_word): maximal runs of words equal to those at their first place."""
     if min_words < 2 * block - 1:
         raise ValueError("a repeat must hold a whole block: min_words >= 2 * block - 1")
-    spark = docs.sparkSession
     n_chunks = common.parts(docs, chunk_bytes)
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).alias("chunk"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), common.normalized(F.col(text_col)).alias("text")).filter("text <> ''")
-    laid = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    laid = rows.repartition(common.partitions(docs), "chunk")
     asked = laid.groupBy("chunk").applyInArrow(_ask(n_chunks, block), "bucket long, chunk long, windows binary, info binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, hits binary")
-    wide = laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_extend(n_chunks, block, min_words), "bucket long, chunk long, windows binary, ids binary, places binary")
-    paired = wide.groupBy("bucket").applyInArrow(_pair, "chunk long, ids binary, places binary, ref_ids binary, ref_places binary")
-    out = paired.groupBy("chunk").applyInArrow(_runs(min_words), "doc_id long, start_word long, n_words long, ref_doc_id long, ref_start_word long")
+    wide = laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_extend(n_chunks, block, min_words), "bucket long, chunk long, windows binary, many binary, ids binary, places binary")
+    paired = wide.groupBy("bucket").applyInArrow(_pair, "chunk long, windows binary, own binary, ref_ids binary, ref_places binary")
+    out = laid.groupBy("chunk").cogroup(paired.groupBy("chunk")).applyInArrow(_runs(min_words), ", ".join(f"{c} long" for c in RESULT))
     kind = docs.schema[id_col].dataType
     real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).cast(kind).alias(c)
     return out.select(real("doc_id"), "start_word", "n_words", real("ref_doc_id"), "ref_start_word")
