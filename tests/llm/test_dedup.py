@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from cohortloom.llm import op06_substring as sub
@@ -116,6 +117,46 @@ def test_near_copies_have_recall_and_clean_rows_stay(spark):
     assert kept == set(text) - set(got)
 
 
+def groups_of(rows, got):
+    return {i: got.get(i, i) for i, _ in rows}
+
+
+def all_pairs():
+    """Texts with a partner at similarities from about 0.3 to 0.9, near 0.5 most; all pairs of 0.5 or more by brute force."""
+    rows = []
+    for g in range(160):
+        base = prose(150).split()
+        w = base[:]
+        for i in rng.sample(range(150), rng.choice([4, 10, 14, 16, 17, 18, 19, 20, 24, 30])):
+            w[i] = f"other{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+    cut = [(i, shingles(t)) for i, t in rows]
+    return rows, {(i, j): s for n, (i, a) in enumerate(cut) for j, b in cut[:n] if (s := jaccard(a, b)) >= 0.5}
+
+
+@pytest.mark.parametrize("hot", [near.HOT, 3])
+def test_recall_against_all_pairs(spark, hot):
+    rows, pairs = all_pairs()
+    close = {p for p, s in pairs.items() if s < 0.6}
+    assert len(close) > 40 and len(pairs) > len(close) + 10
+    group = groups_of(rows, {r.doc_id: r.near_of for r in near.near_duplicates(docs_of(spark, rows), hot=hot).collect()})
+    found = {(i, j) for i, j in pairs if group[i] == group[j]}
+    assert len(found) >= 0.9 * len(pairs) and len(found & close) >= 0.85 * len(close)
+    text = dict(rows)
+    for i, first in group.items():
+        assert jaccard(shingles(text[i]), shingles(text[first])) > 0.3
+
+
+def test_large_buckets_are_compared_in_parts(spark):
+    """90 near copies and 60 texts that share most bands' values by chance of nothing else, in buckets of at most 8."""
+    base = prose(200).split()
+    rows = [(k, " ".join([f"own{k}" if i == 2 * k else w for i, w in enumerate(base)])) for k in range(90)]
+    rows += [(500 + k, prose(150)) for k in range(60)]
+    whole = {r.doc_id: r.near_of for r in near.near_duplicates(docs_of(spark, rows)).collect()}
+    parts = {r.doc_id: r.near_of for r in near.near_duplicates(docs_of(spark, rows), hot=8).collect()}
+    assert whole == parts == {k: 0 for k in range(1, 90)}
+
+
 def test_near_copies_of_awkward_rows(spark):
     got = sorted(((r.doc_id, r.near_of) for r in near.near_duplicates(docs_of(spark, ODD)).collect()), key=repr)
     assert got == sorted([(7, 6), (7, 6), (9, 8)], key=repr)
@@ -154,7 +195,5 @@ def test_spans_of_awkward_rows(spark):
 
 
 def test_blocks_must_fit_the_least_repeat(spark):
-    import pytest
-
     with pytest.raises(ValueError):
         sub.repeated_spans(docs_of(spark, []), block=26, min_words=50)
