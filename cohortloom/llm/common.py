@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -33,11 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Tables that lazy results may still read; those that nobody released go when the driver ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _made[:]:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # Spark may be gone by now
+                release(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: a plan cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -47,6 +62,7 @@ def release(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made[:] = [m for m in _made if m[1] != path]
 
 
 def normalized(text: Column) -> Column:
@@ -118,8 +134,8 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, id_col: str, text_col
     return ranked.filter(F.col(crn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected edge table (a, b); a component's name is its least node.
+def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component) of an undirected edge table (a, b), and its path; a component's name is its least node.
 
     Each round takes the least label around every node and then jumps along labels, so rounds grow with the
     logarithm of the longest chain; every round is a table in the shared folder.
@@ -140,7 +156,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels, path = stepped.select("node", "component"), new
         if not changed:
             release(spark, edges_path)
-            return labels
+            return labels, path
 
 
 def _pack(batches):

@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are cut into chunks of CHUNK bytes. Each chunk has its polynomial value modulo two primes,
 and a document's fingerprint is combined from those of its chunks: F(ab) = F(a) * x^len(b) + F(b). Rows of equal
 fingerprint and length are only candidates: they are compared chunk by chunk with their group's first row, and
-rows that differ from it are compared among themselves in another round.
+rows that differ from it are compared among themselves in another round. A group of more than HOT rows is compared in
+shares of that size, each of which gets the first row's chunks.
 
 Defined cases: a null text is never a copy; empty texts are copies of each other; the kept row is the one of the
 least id (null before all) and then least text hash; repeated rows are copies of each other; an empty table gives
@@ -22,6 +23,7 @@ from . import common, tokens
 
 CHUNK = 4096
 COMPARE = 1 << 16  # bytes compared at once
+HOT = 10_000
 PRIMES = (2147483647, 2147483629)
 BASE = (1103515245, 1664525)
 
@@ -96,7 +98,7 @@ def _chunks(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * COMPARE + 1, F.lit(COMPARE)))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 62, hot: int = HOT) -> DataFrame:
     """(__id, __th, first_id, first_th, n) for all rows of groups of equal texts of two rows or more; n: rows of this key.
 
     bits: how many of the fingerprint are looked at; fewer mean more candidates to compare, never another result.
@@ -104,21 +106,25 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     spark = docs.sparkSession
     part = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("fp")
     key = ["fp", "n_bytes"]
-    groups, _ = common.materialize(fingerprinted(docs, id_col, text_col).select(part, "n_bytes").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "equal-fingerprints")
+    sized = fingerprinted(docs, id_col, text_col).select(part, "n_bytes").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups, groups_path = common.materialize(sized.select(*key, F.ceil(F.col("n") / hot).cast("int").alias("shares")), "equal-fingerprints")
     found = fingerprinted(docs, id_col, text_col, with_text=True).withColumn("fp", part).join(groups, key)
-    pieces = found.select(*key, "__id", "__th", F.posexplode(_chunks(F.col("__text"))).alias("k", "piece"))
-    pieces, old = common.materialize(pieces, "candidate-pieces")
-    todo, done = pieces, []
+    share = F.pmod(F.xxhash64("__id", "__th", F.spark_partition_id()), F.col("shares")).cast("int")
+    pieces = found.select(*key, "shares", share.alias("share"), "__id", "__th", F.posexplode(_chunks(F.col("__text"))).alias("k", "piece"))
+    pieces, pieces_path = common.materialize(pieces, "candidate-pieces")
+    to_all = lambda df: df.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    todo, done, paths = pieces, [], [groups_path, pieces_path]
     while True:
-        first = todo.groupBy(*key).agg(F.min(F.struct("__id", "__th")).alias("first"))
-        marked = todo.join(first, key)
+        first = todo.groupBy(*key).agg(F.min(F.struct("__id", "__th")).alias("first"), F.max("shares").alias("shares"))
+        marked = todo.join(to_all(first), [*key, "share"])
         is_first = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__th") == F.col("first.__th"))
-        heads = marked.filter(is_first).groupBy(*key, "k").agg(F.first("piece").alias("head"))
-        seen = marked.join(heads, [*key, "k"], "left").groupBy(*key, "__id", "__th").agg(
+        heads = marked.filter(is_first).groupBy(*key, "k").agg(F.first("piece").alias("head"), F.max("shares").alias("shares"))
+        seen = marked.join(to_all(heads), [*key, "share", "k"], "left").groupBy(*key, "__id", "__th").agg(
             F.first("first.__id").alias("first_id"), F.first("first.__th").alias("first_th"),
             F.bool_and(F.coalesce(F.col("piece") == F.col("head"), F.lit(False))).alias("same"),
             F.count(F.when(F.col("k") == 0, 1)).alias("n"))
-        seen, _ = common.materialize(seen, "compared")
+        seen, path = common.materialize(seen, "compared")
+        paths.append(path)
         done.append(seen.filter("same"))
         other = seen.filter("not same").select(*key, "__id", "__th")
         if other.isEmpty():
@@ -132,7 +138,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     s = sizes.select(F.col("fp").alias("s_fp"), F.col("n_bytes").alias("s_n"), F.col("first_id").alias("s_id"), F.col("first_th").alias("s_th"))
     out = out.join(s, (F.col("fp") == F.col("s_fp")) & (F.col("n_bytes") == F.col("s_n")) & F.col("first_id").eqNullSafe(F.col("s_id")) & (F.col("first_th") == F.col("s_th")), "left_semi")
     out, _ = common.materialize(out.select("__id", "__th", "first_id", "first_th", "n"), "copies")
-    common.release(spark, old)
+    common.release(spark, *paths)
     return out
 
 

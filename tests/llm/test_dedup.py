@@ -64,6 +64,15 @@ def test_empty_tables(spark):
     assert sub.repeated_spans(none).count() == 0
 
 
+def test_large_groups_are_compared_in_shares(spark):
+    rows = [(i, "the same text") for i in range(60)] + [(100 + i % 3, "again " * 20_000) for i in range(9)] + [(200, "other"), (201, None)]
+    want = sorted([(i, 0) for i in range(1, 60)] + [(100, 100)] * 2 + [(101, 100)] * 3 + [(102, 100)] * 3)
+    for hot, bits in ((7, 62), (7, 0)):  # without bits all texts of a length are compared
+        got = exact.verdicts(docs_of(spark, rows), bits=bits, hot=hot).collect()
+        found = sorted((r["__id"], r.first_id) for r in got for _ in range(r.n - ((r["__id"], r["__th"]) == (r.first_id, r.first_th))))
+        assert found == want
+
+
 def test_min_and_max_share_one_evaluation():
     from cohortloom.llm import tokens
 
