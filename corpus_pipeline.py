@@ -39,8 +39,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages on documents; a stage's table goes as soon as the next one's is written."""
+    docs, old = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = common.materialize(stage(spark, docs, sf_dir), name)
+        docs, path = common.materialize(stage(spark, docs, sf_dir), name)
+        common.release(spark, *old)
+        old = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
