@@ -26,6 +26,7 @@ import bisect
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,36 +76,60 @@ def _table() -> dict[str, str]:
 _MAP = _table()
 FOLD_FROM = "".join(_MAP) + _GONE
 FOLD_TO = "".join(_MAP.values())
-_PY = {ord(a): b for a, b in _MAP.items()} | {ord(c): None for c in _GONE}
+
+
+class _Known(dict):
+    """Characters that stay are remembered: a missing one costs an exception."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c
+        return c
+
+
+_PY = _Known({ord(a): b for a, b in _MAP.items()} | {ord(c): None for c in _GONE})
 _WORDLESS = r"[^\p{L}\p{N}]+"
 
 
+_SPACED = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
+_BEFORE, _WITHIN, _SPLIT, _LETTER = regex.compile(r"!(\p{L})"), regex.compile(r"(\p{L})[*_~^]+(\p{L})"), regex.compile(_WORDLESS), regex.compile(r"\p{L}")
+
+
+def _join_ascii(words: list[bytes]) -> str:
+    """The end of fold(), at once for all bytes."""
+    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    if len(words) > 1:
+        blank = b == 32
+        one = blank[:-2] & blank[2:] & (b[1:-1] > 96)
+        keep = np.ones(len(b), bool)
+        keep[np.flatnonzero(one[:-2] & one[2:]) + 2] = False
+        b = b[keep]
+    return b[np.r_[True, (b[1:] != b[:-1]) | (b[1:] < 97)]][1:-1].tobytes().decode()
+
+
 def fold(text: str) -> str:
     """A text as it looks after folding: words between single spaces."""
-    t = regex.sub(r"!(\p{L})", r"i\1", text.lower().translate(_PY))
-    for _ in range(2):
-        t = regex.sub(r"(\p{L})[*_~^]+(\p{L})", r"\1\2", t)
-    words = [w for w in regex.split(_WORDLESS, t) if w]
+    t = text.lower().translate(_PY)
+    if "!" in t:
+        t = _BEFORE.sub(r"i\1", t)
+    if "*" in t or "_" in t or "~" in t or "^" in t:
+        t = _WITHIN.sub(r"\1\2", _WITHIN.sub(r"\1\2", t))
+    if t.isascii():
+        return _join_ascii(t.encode().translate(_SPACED).split())
+    words = [w for w in _SPLIT.split(t) if w]
     out: list[str] = []
     single = False
     for w in words:
-        one = bool(regex.fullmatch(r"\p{L}", w))
+        one = len(w) == 1 and _LETTER.match(w) is not None
         if one and single:
             out[-1] += w
         else:
             out.append(w)
         single = one
-    return regex.sub(r"([a-z])\1+", r"\1", " ".join(out))
-
-
-def folded(text: Column) -> Column:
-    """fold() of a column."""
-    t = F.regexp_replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), r"!(\p{L})", "i$1")
-    for _ in range(2):
-        t = F.regexp_replace(t, r"(\p{L})[*_~^]+(\p{L})", "$1$2")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, _WORDLESS, "  "), F.lit(" "))
-    t = F.replace(F.regexp_replace(t, r" (\p{L}) ", "\x01$1\x01"), F.lit("\x01\x01"), F.lit(""))
-    return F.regexp_replace(F.trim(F.regexp_replace(t, "[ \x01]+", " ")), r"([a-z])\1+", "$1")
+    t = " ".join(out)
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        while c + c in t:
+            t = t.replace(c + c, c)
+    return t
 
 
 def _folded_sql(text: str) -> str:
@@ -131,6 +156,12 @@ def _terms(words: Column) -> Column:
     return F.flatten(each)
 
 
+def _split_words(batches):
+    for b in batches:
+        words = [(k, w) for k, cell in zip(b.column(0), b.column(1)) if cell.is_valid for w in [fold(cell.as_py()).split(" ")] if w[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k, _ in words], pa.int32()), pa.array([w for _, w in words], pa.list_(pa.string()))], names=["toxic", "w"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> dict[str, int]:
     """The lexicon: weights of terms, the seeds among them, from at most per_class documents of each label."""
     key = F.md5(F.col(f"`{label_id}`").cast("string"))
@@ -138,8 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [rows.filter(F.col("toxic") == k).orderBy("h", "l_id").limit(per_class).select("l_id", "toxic") for k in (1, 0)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class ids
     texts = docs.select(F.col(f"`{id_col}`").alias("d_id"), F.col(f"`{text_col}`").alias("text")).join(sample, F.col("d_id") == F.col("l_id"))
-    words = texts.select("toxic", F.split(folded(F.col("text")), " ").alias("w")).filter("w[0] <> ''")
-    words, path = common.materialize(words, "labelled")
+    words, path = common.materialize(texts.select("toxic", "text").mapInArrow(_split_words, "toxic int, w array<string>"), "labelled")
     size = {r["toxic"]: (r["n"], r["m"]) for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("w")).alias("m")).collect()}
     lexicon = seeds()
     if len(size) == 2:
@@ -209,7 +239,7 @@ def _scorer(lexicon: tuple, exceptions: tuple):
         for b in batches:
             out: list[list[int]] = [[], [], [], []]
             for cell in b.column(b.num_columns - 1):
-                t = cell.as_py()
+                t = fold(cell.as_py()) if cell.is_valid else ""
                 weight, terms, certain = weigh(t, automaton) if t else (0, 0, 0)
                 for x, v in zip(out, (t.count(" ") + 1 if t else 0, terms, certain, weight)):
                     x.append(v)
@@ -231,7 +261,7 @@ def _toxic(words: str, terms: str, sure: str, weight: str, threshold: float) ->
 
 def score_toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: dict | None = None, exceptions: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_terms, n_seeds, weight, score, toxic) for every row; lexicon: as of learn()."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), folded(F.col(f"`{text_col}`")).alias("__text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in COUNTS)])
     score = F.when(F.col("n_words") > 0, F.col("weight") / F.col("n_words"))
     return rows.mapInArrow(_scorer(*_frozen(lexicon, exceptions)), schema).withColumn("score", score).withColumn("toxic", _toxic(*COUNTS, threshold))
@@ -239,8 +269,8 @@ def score_toxicity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_toxic(docs: DataFrame, text_col: str = "text", lexicon: dict | None = None, exceptions: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't toxic, columns untouched; narrow, no shuffle."""
-    fold_name, *counts = common.fresh(docs, "cl_folded", *COUNTS)
-    rows = docs.withColumn(fold_name, folded(F.col(f"`{text_col}`")))
+    copy, *counts = common.fresh(docs, "cl_text", *COUNTS)
+    rows = docs.withColumn(copy, F.col(f"`{text_col}`"))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in counts)])
     inner = _scorer(*_frozen(lexicon, exceptions))
 
