@@ -159,6 +159,33 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
             return labels, path
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: the next task may run beside others of more need."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do it themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimming(f):
+    """f (of one or two Arrow tables) and trim() after it."""
+
+    def one(t):
+        out = f(t)
+        trim()
+        return out
+
+    def two(t, u):
+        out = f(t, u)
+        trim()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one  # applyInArrow looks at the arguments
+
+
 def _pack(batches):
     import numpy as np
     import pyarrow as pa

@@ -188,10 +188,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     n_buckets = max(1, min(n_chunks, 1 << 20))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks)).alias("chunk"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     laid = common.laid_out(rows, common.partitions(docs))
-    asked = laid.groupBy("chunk").applyInArrow(_ask(n_buckets), "bucket long, chunk long, words binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answer(ranks_path), "chunk long, bucket long, ids binary")
+    asked = laid.groupBy("chunk").applyInArrow(common.trimming(_ask(n_buckets)), "bucket long, chunk long, words binary")
+    answered = asked.groupBy("bucket").applyInArrow(common.trimming(_answer(ranks_path)), "chunk long, bucket long, ids binary")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_place(n_buckets, to_arrow_type(rows.schema["doc_id"].dataType)), schema)
+    return laid.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(common.trimming(_place(n_buckets, to_arrow_type(rows.schema["doc_id"].dataType))), schema)
 
 
 def _decode(path: str):
