@@ -57,6 +57,19 @@ def multiclass(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
     return c.agg((F.sum(tp) / F.sum(n)).alias("accuracy"), F.avg(f1(1.0)).alias("f1_macro"), (F.sum(f1(0.0) * n) / F.sum(n)).alias("f1_weighted"), (F.sum(div(tp, tp + fp, 0.0) * n) / F.sum(n)).alias("precision_weighted"), (F.sum(div(tp, n, 0.0) * n) / F.sum(n)).alias("recall_weighted"))
 
 
+def multilabel(df: DataFrame, truth: str = "y", pred: str = "p") -> DataFrame:
+    """(accuracy, jaccard_samples, f1_samples, f1_micro, f1_macro) of arrays of labels: accuracy wants equal sets; figures of rows
+    without a label on either side are 1 in accuracy and 0 else; labels are those that occur. A null array is empty."""
+    none = lambda c: F.coalesce(F.array_distinct(c), F.array().cast(df.schema[truth].dataType))
+    x = df.select(none(truth).alias("t"), none(pred).alias("p")).withColumn("both", F.size(F.array_intersect("t", "p")))
+    n = F.size("t") + F.size("p")
+    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    by_row = x.agg(F.avg(((F.col("both") == F.size("t")) & (F.col("both") == F.size("p"))).cast("int")).alias("accuracy"), F.avg(div(F.col("both"), n - F.col("both"))).alias("jaccard_samples"), F.avg(div(2 * F.col("both"), n)).alias("f1_samples"), F.try_divide(2 * F.sum("both"), F.sum(n)).alias("f1_micro"))
+    each = x.select(F.explode(F.array_union("t", "p")).alias("label"), "t", "p")
+    f1 = each.groupBy("label").agg((F.sum(2 * (F.array_contains("t", F.col("label")) & F.array_contains("p", F.col("label"))).cast("int")) / F.sum(F.array_contains("t", F.col("label")).cast("int") + F.array_contains("p", F.col("label")).cast("int"))).alias("f1"))
+    return by_row.crossJoin(f1.agg(F.avg("f1").alias("f1_macro")))
+
+
 def binary(df: DataFrame, truth: str = "y", score: str = "s", threshold: float = 0.5) -> DataFrame:
     """(pr_auc, roc_auc, accuracy, balanced_accuracy, f1_macro, precision, recall, cohen_kappa, jaccard).
 

@@ -21,6 +21,22 @@ def items(docs: DataFrame) -> DataFrame:
 
 def contexts(docs: DataFrame) -> DataFrame:
     """(sample_id, text): numbered lists by visit; what was seen before is marked as continued, what first comes after visit 0 as new."""
+    v = _visit_texts(docs)
+    return v.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("visit_idx", "text"))).getField("text"), "\n\n").alias("text"))
+
+
+def rolling_contexts(samples: DataFrame) -> DataFrame:
+    """(sample_id, text): contexts() of rolling documents. A visit's text depends on earlier visits only, so each is made once and
+    a sample has those of its patient up to its own. samples: patient_id, sample_idx, lists."""
+    own = samples.withColumnsRenamed({"patient_id": "sample_id", "sample_idx": "visit_idx"})
+    v = own.select("sample_id", "visit_idx").join(_visit_texts(own), ["sample_id", "visit_idx"], "left")
+    w = Window.partitionBy("sample_id").orderBy("visit_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = v.select(F.concat_ws("_", "sample_id", "visit_idx").alias("sample_id"), F.collect_list("text").over(w).alias("texts"))
+    return so_far.filter(F.size("texts") > 0).select("sample_id", F.array_join("texts", "\n\n").alias("text"))
+
+
+def _visit_texts(docs: DataFrame) -> DataFrame:
+    """(sample_id, visit_idx, text) of visits that have an item."""
     mark = F.when(F.col("seen") > 0, " (continued from previous visit)").when(F.col("visit_idx") > 0, " (new)").otherwise("")
     line = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), F.lower("name"), mark)
     rows = items(docs).select("sample_id", "visit_idx", "kind", "pos", line.alias("line"))
@@ -28,8 +44,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     by_visit = lists.groupBy("sample_id", "visit_idx").agg(F.map_from_entries(F.collect_list(F.struct("kind", "lines"))).alias("m"))
     part = lambda k: F.concat(F.lit(HEADINGS[k] + ":\n"), F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")))
     text = F.concat_ws("\n", F.concat(F.lit("Visit "), "visit_idx", F.lit(":")), *[part(k) for k in HEADINGS])
-    v = by_visit.select("sample_id", "visit_idx", text.alias("text"))
-    return v.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("visit_idx", "text"))).getField("text"), "\n\n").alias("text"))
+    return by_visit.select("sample_id", "visit_idx", text.alias("text"))
 
 
 def concept_filter(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:

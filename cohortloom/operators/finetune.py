@@ -68,9 +68,27 @@ def normalize_space(text: Column) -> Column:
 
 
 def drop_contaminated(rows: DataFrame, key: str, text: str, benchmark: DataFrame, bench_text: str) -> DataFrame:
-    """rows whose normalised text holds none of the benchmark's; the benchmark side is small and matched by substring."""
-    b = benchmark.select(normalize_space(F.col(bench_text)).alias("__b")).filter("__b <> ''").distinct()
-    return rows.join(b, F.contains(normalize_space(F.col(text)), F.col("__b")), "left_anti")
+    """rows whose normalised text holds none of the benchmark's as a substring; rows without a text stay.
+
+    Texts are normalised once. The inner words of an item are whole words of a text that holds it, so items of five words or
+    more meet the texts by the hash of their first three inner words and those of three or four by an inner word; only
+    items of one or two words are compared with every text.
+    """
+    b = benchmark.select(normalize_space(F.col(bench_text)).alias("__b")).filter("__b <> ''").distinct().withColumn("__w", F.split("__b", " "))
+    of = F.when(F.size("__w") >= 5, 3).when(F.size("__w") >= 3, 1)
+    gram = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "))
+    probes = b.select("__b", of.alias("__n"), gram(F.col("__w"), F.lit(2), F.coalesce(of, F.lit(0))).alias("__g"))
+    ids = [F.col(key).alias("__id"), F.xxhash64(text).alias("__th")]
+    texts = rows.filter(F.col(text).isNotNull()).select(*ids, normalize_space(F.col(text)).alias("__t")).withColumn("__w", F.split("__t", " "))
+    have = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: gram(F.col("__w"), i, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+    met = None
+    for n in (3, 1):
+        some = texts.select("__id", "__th", "__t", F.explode(F.array_distinct(have(n))).alias("__g")).join(probes.filter(F.col("__n") == n), "__g")
+        met = some if met is None else met.unionByName(some)
+    held = met.filter(F.contains("__t", F.col("__b"))).select("__id", "__th")
+    short = texts.join(probes.filter("__n IS NULL").select("__b"), F.contains("__t", F.col("__b")), "left_semi").select("__id", "__th")
+    found = held.unionByName(short).distinct().withColumnsRenamed({"__id": "__fid", "__th": "__fth"})
+    return rows.join(found, F.col(key).eqNullSafe(F.col("__fid")) & (F.xxhash64(text) == F.col("__fth")), "left_anti")
 
 
 def docstring(code: Column) -> Column:

@@ -111,16 +111,16 @@ def consolidate(rows: DataFrame, group: str, text: str, provider=stub, whole: in
 
 
 def predictor_rounds(rows: DataFrame, predictor=stub, critic=stub, rounds: int = 4, batch: int = 5) -> DataFrame:
-    """(id, round, prediction, wrong): predictions whose last character isn't the label are criticised in batches of a round, and
+    """(id, round, prediction, wrong): predictions whose last character isn't the label are criticised in batches by id in a round, and
     the critics' joined feedback goes into the next round's prompts. rows: id, prompt, label."""
-    from .tables import materialize
+    from .tables import materialize, numbered
 
     feedback, out = None, None
     for r in range(rounds):
         p = rows.withColumn("full", F.col("prompt")) if feedback is None else rows.crossJoin(feedback).withColumn("full", F.concat("prompt", F.lit("\n# Feedback #\n"), "feedback"))
         told, _ = materialize(complete(p, "full", predictor, "prediction").withColumn("wrong", F.right("prediction", F.lit(1)) != F.col("label").cast("string")).select("id", F.lit(r).alias("round"), "prediction", "wrong"), "round")
         out = told if out is None else out.unionByName(told)
-        wrong = told.filter("wrong").withColumn("b", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / batch)).groupBy("b").agg(F.array_join(F.array_sort(F.collect_list("prediction")), "\n").alias("errors"))
+        wrong = numbered(told.filter("wrong"), "place", "id").withColumn("b", F.floor(F.col("place") / batch)).groupBy("b").agg(F.array_join(F.array_sort(F.collect_list("prediction")), "\n").alias("errors"))
         said = complete(wrong, "errors", critic, "f").withColumn("g", F.lit(0))
         feedback = consolidate(said, "g", "f", critic).select(F.col("text").alias("feedback"))
         if feedback.isEmpty():

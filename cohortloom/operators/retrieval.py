@@ -64,10 +64,19 @@ def document_text(title: Column, abstract: Column) -> Column:
 
 
 def training_pairs(positive: DataFrame, candidates: DataFrame, n: int = 10, seed: int = 1) -> DataFrame:
-    """(patient, item, label): positive pairs with 1.0 and for each patient n seeded others that aren't positive with 0.0."""
+    """(patient, item, label): positive pairs with 1.0 and for each patient n seeded others that aren't positive with 0.0.
+
+    Items stand in a circle in a seeded order; a patient takes those from a seeded place on that aren't positive. So a patient
+    looks at n items more than it has, however many there are.
+    """
     p = positive.select("patient", "item").distinct()
-    other = p.select("patient").distinct().crossJoin(candidates.select("item").distinct()).join(p, ["patient", "item"], "left_anti")
-    w = Window.partitionBy("patient").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "patient", "item")), "item")
+    circle = tables.numbered(candidates.select("item").distinct(), "place", F.md5(F.concat_ws(":", F.lit(str(seed)), "item")), "item")
+    m = circle.agg(F.count(F.lit(1)).alias("m"))
+    start = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), "patient")), F.lit(15)), 16, 10).cast("long")
+    asks = p.groupBy("patient").agg(F.count(F.lit(1)).alias("own")).crossJoin(F.broadcast(m)).filter("m > 0")
+    asks = asks.select("patient", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("own") + n, F.col("m")) - 1)).alias("k"))
+    other = asks.withColumn("place", F.pmod(start + F.col("k"), F.col("m"))).join(circle, "place").join(p, ["patient", "item"], "left_anti")
+    w = Window.partitionBy("patient").orderBy("k")
     negative = other.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= n).select("patient", "item", F.lit(0.0).alias("label"))
     return p.select("patient", "item", F.lit(1.0).alias("label")).unionByName(negative)
 

@@ -37,6 +37,26 @@ def bracket_lines(text: Column) -> Column:
     return F.array_distinct(F.transform(brackets(text), lambda b: F.replace(b, F.lit(", "), F.lit("\t"))))
 
 
+def provider_triples(sets: DataFrame, concepts: str, provider, task: str = "Triples of: ") -> DataFrame:
+    """(head, relation, tail): the different triples that a provider names for each set of concepts; sets on which it fails are passed over."""
+
+    def ask(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            got = []
+            for p in pdf["prompt"]:
+                try:
+                    got.append(provider(p))
+                except Exception:  # noqa: BLE001  a provider's failure drops the set, as documented
+                    got.append(None)
+            yield pd.DataFrame({"answer": pd.Series(got, dtype=object)})
+
+    prompts = sets.select(F.concat(F.lit(task), F.array_join(concepts, ", ")).alias("prompt")).filter("prompt IS NOT NULL")
+    answers = prompts.mapInPandas(ask, "answer string").filter("answer IS NOT NULL")
+    return answers.select(F.explode(parse_strict(F.col("answer"))).alias("t")).select("t.*").distinct()
+
+
 def chunks(text: Column, size: int = 800) -> Column:
     """A text in pieces of size characters; an empty text has none."""
     n = F.length(text)

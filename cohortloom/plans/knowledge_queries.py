@@ -249,7 +249,7 @@ def modularity(spark, d):
 
 
 def repeated_communities(spark, d):
-    return comm.repeat_until(undirected_kg(spark, d), 100000, 10, 2)
+    return comm.repeat_until(undirected_kg(spark, d), 300, 10)
 
 
 def community_summaries(spark, d):

@@ -12,8 +12,7 @@ _V, _RET = clinical.SQL_VIEWS, ehr_queries._RET
 
 
 def context_texts(spark, d):
-    docs = ehr.rolling_docs(ehr_queries._samples(spark, d))
-    return context.contexts(docs).select("sample_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    return context.rolling_contexts(ehr_queries._samples(spark, d)).select("sample_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
 
 def _concepts(spark, d):
@@ -134,7 +133,9 @@ def theme_factors(spark, d):
 
 def greedy_communities(spark, d):
     v = _label_vecs(spark, d)
-    return retrieval.greedy_retrieval(patient_nodes(spark, d), _members(spark, d), _patient_vecs(spark, d), v, v)
+    n = patient_nodes(spark, d)
+    visits = n.filter("kind = 'direct'").select("sample_id", "node", F.pmod(F.col("sample_id"), F.lit(4)).alias("visit_idx"))
+    return retrieval.greedy_retrieval(n, _members(spark, d), _patient_vecs(spark, d), v, v, visits)
 
 
 def _by_label(spark, d):
@@ -205,7 +206,7 @@ SELECT id, coalesce(p.t, 'None') AS positive, coalesce(n.t, 'None') AS negative
     "dense_search": f"WITH {_DOTS} SELECT query, item, round(score, 6) AS score, rank FROM rk WHERE rank <= 10",
     "article_lookup": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "document_texts": "SELECT doc_id, md5(CASE WHEN n_chars > 200 AND trim(text) <> '' THEN trim(text) ELSE source END) AS digest FROM documents",
-    "training_pairs": "WITH p AS (SELECT DISTINCT o_custkey AS patient, o_orderpriority || '-' || o_orderstatus AS item FROM orders), o AS (SELECT patient, item FROM (SELECT DISTINCT patient FROM p) a, (SELECT DISTINCT item FROM p) b WHERE (patient, item) NOT IN (SELECT (patient, item) FROM p)), n AS (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY md5('1:' || patient || ':' || item), item) AS i FROM o) SELECT patient, item, 1.0::DOUBLE AS label FROM p UNION ALL SELECT patient, item, 0.0::DOUBLE FROM n WHERE i <= 10",
+    "training_pairs": "WITH p AS (SELECT DISTINCT o_custkey AS patient, o_orderpriority || '-' || o_orderstatus AS item FROM orders), c AS (SELECT item, row_number() OVER (ORDER BY md5('1:' || item), item) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT item FROM p)), o AS (SELECT patient, item, (place - ('0x' || left(md5('1:' || patient), 15))::BIGINT % m + m) % m AS k FROM (SELECT DISTINCT patient FROM p) a, c WHERE (patient, item) NOT IN (SELECT (patient, item) FROM p)), n AS (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY k) AS i FROM o) SELECT patient, item, 1.0::DOUBLE AS label FROM p UNION ALL SELECT patient, item, 0.0::DOUBLE FROM n WHERE i <= 10",
     "keyword_queries": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 6 AND regexp_full_match(w, '\p{L}+')), ' OR ') AS query FROM documents",
     "one_shot_communities": f"WITH {_SHOT} SELECT sample_id, community, round(score, 6) AS score, rank FROM shot",
     "support_texts": f"WITH {_SHOT} SELECT sample_id, string_agg('Support Info ' || rank || ':' || chr(10) || 'about ' || n_name, chr(10) || chr(10) ORDER BY rank) AS text FROM shot JOIN nation ON n_nationkey = community GROUP BY sample_id",

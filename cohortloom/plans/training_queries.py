@@ -194,7 +194,16 @@ def provider_answers(spark, d):
     return providers.complete(clinical.read(spark, d, "nation").select("n_name"), "n_name")
 
 
-_fns = (training_examples, plain_examples, direct_examples, label_first_examples, reasoning_prompts, shot_prompts, confident_rows, training_files, reference_rows, multitask_files, numbered_facts, predictor_rounds, consolidated_feedback, parsed_labels, sensitivity_specificity, multiclass_metrics, binary_metrics, run_summary, best_step, chat_texts, preference_texts, chat_examples, dataset_mix, substring_decontamination, docstrings, column_values, event_windows, provider_answers)
+def multilabel_metrics(spark, d):
+    """Labels' marks against marks guessed from the number."""
+    k = F.col("doc_id")
+    mark = lambda c, m: F.when(c, F.array(F.lit(m))).otherwise(F.array().cast("array<string>"))
+    x = clinical.read(spark, d, "labels").select(F.concat(mark(F.col("quality") == 1, "good"), mark(F.col("toxic") == 1, "toxic")).alias("y"), F.concat(mark(k % 3 > 0, "good"), mark(k % 7 == 0, "toxic"), mark(k % 11 == 0, "odd")).alias("p"))
+    m = metrics.multilabel(x)
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
+
+
+_fns = (multilabel_metrics, training_examples, plain_examples, direct_examples, label_first_examples, reasoning_prompts, shot_prompts, confident_rows, training_files, reference_rows, multitask_files, numbered_facts, predictor_rounds, consolidated_feedback, parsed_labels, sensitivity_specificity, multiclass_metrics, binary_metrics, run_summary, best_step, chat_texts, preference_texts, chat_examples, dataset_mix, substring_decontamination, docstrings, column_values, event_windows, provider_answers)
 QUERIES = {f.__name__: f for f in _fns}
 
 
@@ -255,6 +264,12 @@ SELECT round(pr, 9) AS pr_auc, round(roc, 9) AS roc_auc, round(po, 9) AS accurac
     "chat_examples": "SELECT doc_id, '[{\"role\":\"user\",\"content\":\"' || source || '\"},{\"role\":\"assistant\",\"content\":\"' || lang || '\"}]' AS messages, md5('42:' || doc_id) AS place FROM documents",
     "dataset_mix": "WITH a AS (SELECT doc_id AS id, lang AS kind, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents), u AS (SELECT id, kind FROM a WHERE i <= floor(0.25::DOUBLE * n) UNION ALL SELECT conv_id * 1000 + turn, role FROM conversations) SELECT id, kind, md5('42:' || id || '|' || kind) AS shuffle_key FROM u",
     "substring_decontamination": f"WITH b AS (SELECT DISTINCT {_NORM.format('text')} AS b FROM benchmark) SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b <> '' AND contains({_NORM.format('d.text')}, b))",
+    "multilabel_metrics": """WITH x AS (SELECT list_concat(CASE WHEN quality = 1 THEN ['good'] ELSE [] END, CASE WHEN toxic = 1 THEN ['toxic'] ELSE [] END) AS y,
+  list_concat(list_concat(CASE WHEN doc_id % 3 > 0 THEN ['good'] ELSE [] END, CASE WHEN doc_id % 7 = 0 THEN ['toxic'] ELSE [] END), CASE WHEN doc_id % 11 = 0 THEN ['odd'] ELSE [] END) AS p FROM labels),
+r AS (SELECT y, p, len(y) AS a, len(p) AS b, len(list_intersect(y, p)) AS k FROM x),
+f AS (SELECT 2.0::DOUBLE * count(*) FILTER (list_contains(y, l) AND list_contains(p, l)) / (count(*) FILTER (list_contains(y, l)) + count(*) FILTER (list_contains(p, l))) AS f1 FROM x, (SELECT unnest(['good', 'toxic', 'odd']) AS l) GROUP BY l)
+SELECT round(avg((k = a AND k = b)::INT), 9) AS accuracy, round(avg(CASE WHEN a + b > 0 THEN k / (a + b - k)::DOUBLE ELSE 0 END), 9) AS jaccard_samples, round(avg(CASE WHEN a + b > 0 THEN 2 * k / (a + b)::DOUBLE ELSE 0 END), 9) AS f1_samples,
+  round(2 * sum(k)::DOUBLE / sum(a + b), 9) AS f1_micro, round((SELECT avg(f1) FROM f), 9) AS f1_macro FROM r""",
     "docstrings": "SELECT doc_id, source AS docstring FROM documents",
     "column_values": "SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",

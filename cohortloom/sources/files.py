@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ..operators import tables
+
 
 def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -136,4 +138,27 @@ def search_articles(index: DataFrame, query: Column | str, batch: int = 20) -> D
     q = F.lit(query) if isinstance(query, str) else query
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
     hit = index.filter(F.contains(text, F.lower(q))).select("pmid")
-    return hit.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("pmid")) - 1) / batch)).select("batch", "pmid")
+    return tables.numbered(hit, "place", "pmid").select(F.floor(F.col("place") / batch).alias("batch"), "pmid")
+
+
+def search_service(queries: DataFrame, connector, column: str = "query", batch: int = 20) -> DataFrame:
+    """(query, batch, pmid, title, abstract): what a service finds for each query, batch after batch until one isn't full.
+
+    connector: a function of (query, first, batch) that gives (pmid, title, abstract) rows; it runs in the tasks.
+    """
+    schema = T.StructType([queries.schema[column], T.StructField("batch", T.LongType()), *_strings("pmid", "title", "abstract").fields])
+
+    def ask(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for q in pdf[column]:
+                number = 0
+                while q is not None:
+                    got = list(connector(q, number * batch, batch))
+                    yield pd.DataFrame([(q, number, *r) for r in got], columns=schema.names)
+                    if len(got) < batch:
+                        break
+                    number += 1
+
+    return queries.select(column).mapInPandas(ask, schema)

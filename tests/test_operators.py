@@ -193,3 +193,46 @@ def test_provider_tries_again_then_falls_back():
     assert providers.call(slow, "q", fallback=lambda p: "other " + p) == "other q" and len(asked) == 5
     with pytest.raises(TimeoutError):
         providers.call(slow, "q")
+
+
+def test_numbered_rows_have_their_places(spark):
+    from cohortloom.operators import tables
+
+    d = spark.range(1000).selectExpr("id * 7919 % 1000 AS x", "'p' AS place").repartition(7)
+    got = tables.numbered(d, "n", "x").collect()
+    assert sorted((r.x, r.n) for r in got) == [(i, i) for i in range(1000)]
+    assert tables.numbered(d.filter("x < 0"), "n", "x").count() == 0
+
+
+def test_contaminated_texts_are_those_that_contain_an_item(spark):
+    items = ["", "ab", "two words", "three little words", "a rather long item of words", None, "mid"]
+    rows = [(1, "xTHREE  little wordsx"), (2, "three words"), (3, "a rather long item of wordsy"), (4, "rather long item of words"), (5, "cab"), (6, None), (7, ""), (8, "xtwo\nwords"), (8, "clean"), (None, "amid"), (9, "three little other words")]
+    from cohortloom.operators import finetune
+
+    b = spark.createDataFrame([(i,) for i in items], "t string")
+    got = finetune.drop_contaminated(spark.createDataFrame(rows, "id long, text string"), "id", "text", b, "t").collect()
+    plain = [" ".join(i.split()) for i in items if i]
+    want = [r for r in rows if r[1] is None or not any(i in " ".join(r[1].lower().split()) for i in plain)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_wrong_predictions_are_criticised_five_at_a_time(spark):
+    from cohortloom.operators import prompts
+
+    rows = spark.createDataFrame([(i, f"prompt {i}", 1) for i in range(23)], "id long, prompt string, label int")
+    asked = spark.sparkContext.accumulator(0)
+
+    def critic(text):
+        asked.add(1)
+        return "feedback"
+
+    got = prompts.predictor_rounds(rows, lambda p: "wrong 0", critic, rounds=1).collect()
+    assert len(got) == 23 and all(r.wrong for r in got) and asked.value == 5 + 1  # batches, and one call that joins their feedback
+
+
+def test_rolling_contexts_are_those_of_rolling_documents(spark):
+    from cohortloom.operators import context, ehr
+
+    rows = [("p", 0, ["a", "a"], [], ["X"]), ("p", 1, [], [], []), ("p", 2, ["a", "b"], ["c"], []), ("q", 0, [], [], []), ("q", 1, ["b"], [], [])]
+    d = spark.createDataFrame([(*r, 0) for r in rows], "patient_id string, sample_idx int, conditions array<string>, procedures array<string>, drugs array<string>, label int")
+    assert sorted(map(tuple, context.rolling_contexts(d).collect())) == sorted(map(tuple, context.contexts(ehr.rolling_docs(d)).collect()))
