@@ -12,10 +12,10 @@ Within a band's bucket all pairs count, but pairs that the bucket's earlier pair
 looked at again: leaders are compared with all others, and only between the components that are left are all
 pairs compared. So buckets of thousands of copies cost one comparison a member, and no candidate is dropped.
 
-A bucket of more than ``hot`` entries is never brought together. It is compared in blocks of that size; one entry of each
-component of a block goes on. If those are still too many, they aren't alike: each goes to SPREAD smaller buckets, which
-agree in another signature value too, and so on until none is too large. In such buckets two texts of different blocks can
-only be found by those that went on for them, or in other bands.
+A bucket of more than ``hot`` entries is never brought together. It is cut into blocks of that size; each block, with a few of the
+bucket's entries that all its blocks get, is compared in itself, which mostly leaves one component where the bucket is one of
+copies. Where more than one is left, every block meets every other, and all pairs of different components are compared. So a
+bucket's links are those of all its pairs, at a cost that grows with the square of such a bucket's size.
 
 Defined cases: null texts and texts without a word are never near anything; texts shorter than a shingle have
 all their words as their one shingle; the kept row of a group has the least id (null before all), then the least
@@ -36,8 +36,8 @@ SHINGLE = 3
 PERMS = 64
 ROWS = 3
 THRESHOLD = 0.45
-#: Entries of a bucket that are compared at once, and buckets that each goes to where there are more.
-HOT, SPREAD = 8192, 4
+#: Entries of a bucket that are compared at once.
+HOT = 8192
 _rng = np.random.default_rng(9)
 _A = _rng.integers(1, 2**31, 512, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, 512, dtype=np.uint64).astype(np.uint32)
@@ -151,7 +151,13 @@ class _Sets:
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of signature bytes, corrected for bytes that are equal by chance."""
-    return ((a == b).mean(axis=-1) - 1 / 256) * (256 / 255)
+    same = a == b
+    n = same.shape[-1]
+    if n % 8 == 0 and n < 255:  # eight counts side by side in a word; modulo 255 it is the sum of its bytes
+        same = np.ascontiguousarray(same).view(np.uint64).sum(axis=-1, dtype=np.uint64) % np.uint64(255)
+    else:
+        same = same.sum(axis=-1)
+    return (same / n - 1 / 256) * (256 / 255)
 
 
 def near_edges(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -179,8 +185,8 @@ def near_edges(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _verify(threshold: float, reps: bool = False):
-    """Edges (a, b) of a table's buckets; with reps also a row for one entry of each component: b null, with its origin."""
+def _verify(threshold: float):
+    """Edges (a, b) of a table's buckets."""
 
     def verify(t: pa.Table) -> pa.Table:
         key, sid = t.column("key").to_numpy(), t.column("sid").to_numpy()
@@ -190,49 +196,45 @@ def _verify(threshold: float, reps: bool = False):
         key, sid, sig = key[o], sid[o], sig[o]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[at, len(key)])
-        a, b, left = [], [], []
-        two = at[size == 2] if not reps else at[:0]
+        a, b = [], []
+        two = at[size == 2]
         for s in range(0, len(two), 65536):
             i = two[s : s + 65536]
             i = i[similarity(sig[i], sig[i + 1]) >= threshold]
             a.append(sid[i])
             b.append(sid[i + 1])
-        rest = size > (0 if reps else 2)
-        for i, n in zip(at[rest], size[rest]):
+        for i, n in zip(at[size > 2], size[size > 2]):
             e = np.array(near_edges(sig[i : i + n], threshold), np.int64).reshape(-1, 2)
             a.append(sid[i + e[:, 0]])
             b.append(sid[i + e[:, 1]])
-            if reps:
-                left.append(i + np.setdiff1d(np.arange(n), e[:, 1]))  # an edge's greater end is another's component
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        if not reps:
-            return pa.table({"a": a, "b": b})
-        left = np.concatenate([*left, np.zeros(0, np.int64)])
-        origin = pa.array(t.column("origin").to_numpy()[o][left])
-        cells = t.column("bytes").take(pa.array(o[left]))
-        none = lambda n, kind: pa.nulls(n, kind)
-        return pa.table({"a": pa.array(np.r_[a, sid[left]]), "b": pa.concat_arrays([pa.array(b), none(len(left), pa.int64())]),
-                         "origin": pa.concat_arrays([none(len(a), pa.int64()), origin]), "bytes": pa.chunked_array([none(len(a), pa.binary()), *cells.chunks], pa.binary())})
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([*a, none]), "b": np.concatenate([*b, none])})
 
     return verify
 
 
-def _spread(n: int):
-    """Each entry in n buckets of those that agree in a further signature value, which the old bucket and its number choose."""
+def _cross(threshold: float):
+    """Edges (a, b) between two blocks of a bucket, which connect what all pairs of theirs do beyond the components c."""
 
-    def spread(batches):
-        for b in batches:
-            key, sid = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            _, data = tokens.buffers(b.column(2))
-            if not len(key):
-                continue
-            sig = data.reshape(len(key), -1)
-            for k in range(n):
-                own = tokens.mix(key * np.uint64(31) + np.uint64(k + 1))
-                value = sig[np.arange(len(key)), (own % np.uint64(sig.shape[1])).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.mix(own + value.astype(np.uint64)).view(np.int64)), pa.array(sid), b.column(2)], names=["key", "sid", "bytes"])
-
-    return spread
+    def cross(t: pa.Table) -> pa.Table:
+        sid, late = t.column("sid").to_numpy(), t.column("late").to_numpy(zero_copy_only=False)
+        _, data = tokens.buffers(t.column("bytes"))
+        sig = data.reshape(len(sid), -1)
+        names, c = np.unique(t.column("c").to_numpy(), return_inverse=True)
+        sets, edges = _Sets(len(names)), []
+        one, two = np.flatnonzero(~late), np.flatnonzero(late)
+        roots = sets.roots()
+        for i in one:
+            other = two[roots[c[two]] != roots[c[i]]]
+            near = other[similarity(sig[i], sig[other]) >= threshold]
+            new = [x for x in near if sets.join(int(c[i]), int(c[x]))]
+            edges += [(sid[i], sid[x]) for x in new]
+            if new:
+                roots = sets.roots()
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    return cross
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -241,24 +243,25 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _edges(rated: DataFrame, threshold: float, hot: int, n_buckets: int) -> tuple[DataFrame, list[str]]:
-    """(a, b) that connect what is near within the keys of rated (key, sid, bytes, n); and the tables made."""
+    """(a, b) that connect exactly what is near within the keys of rated (key, sid, bytes, n); and the tables made."""
     bucket = F.pmod(F.col("key"), F.lit(n_buckets)).alias("bucket")
     compare = lambda rows: rows.select("key", "sid", "bytes", bucket).groupBy("bucket").applyInArrow(common.trimming(_verify(threshold)), "a long, b long")
-    edges, paths, todo = compare(rated.filter(F.col("n") <= hot)), [], rated.filter(F.col("n") > hot)
-    while not todo.isEmpty():
-        block = F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("n") / hot).cast("long"))
-        blocks = todo.select(F.col("key").alias("origin"), F.xxhash64("key", block).alias("key"), "sid", "bytes").withColumn("bucket", F.pmod(F.col("key"), F.lit(n_buckets)))
-        found, path = common.materialize(blocks.groupBy("bucket").applyInArrow(common.trimming(_verify(threshold, reps=True)), "a long, b long, origin long, bytes binary"), "hot-blocks")
-        paths.append(path)
-        edges = edges.unionByName(found.filter("b IS NOT NULL").select("a", "b"))
-        left, path = common.materialize(_sized(found.filter("b IS NULL").select(F.col("origin").alias("key"), F.col("a").alias("sid"), "bytes")), "hot-left")
-        paths.append(path)
-        edges = edges.unionByName(compare(left.filter(F.col("n") <= hot)))
-        wide = left.filter(F.col("n") > hot).select("key", "sid", "bytes").mapInArrow(_spread(SPREAD), "key long, sid long, bytes binary")
-        wide, path = common.materialize(_sized(wide), "hot-spread")
-        paths.append(path)
-        edges, todo = edges.unionByName(compare(wide.filter(F.col("n") <= hot))), wide.filter(F.col("n") > hot)
-    return edges, paths
+    edges = compare(rated.filter(F.col("n") <= hot))
+    large, large_path = common.materialize(rated.filter(F.col("n") > hot), "hot")
+    if large.isEmpty():
+        return edges, [large_path]
+    n_blocks = F.ceil(F.col("n") / hot).cast("long")
+    all_blocks, block = F.sequence(F.lit(0).cast("long"), n_blocks - 1), F.pmod(F.xxhash64("sid", "key"), n_blocks)
+    everywhere = F.pmod(F.xxhash64("key", "sid"), F.col("n")) < hot // 128
+    blocks = large.withColumn("block", F.explode(F.when(everywhere, all_blocks).otherwise(F.array(block))))
+    within, within_path = common.materialize(compare(blocks.select(F.xxhash64("key", "block").alias("key"), "sid", "bytes")).distinct(), "hot-blocks")
+    groups, groups_path = common.connected_components(within)
+    named = large.join(groups.withColumnsRenamed({"node": "sid", "component": "c"}), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key")
+    met = named.join(mixed, "key", "left_semi").withColumn("block", block).withColumn("other", F.explode(all_blocks)).filter("other <> block")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "bytes", "c", (F.col("block") > F.col("other")).alias("late"))
+    between = met.groupBy("key", "i", "j").applyInArrow(common.trimming(_cross(threshold)), "a long, b long")
+    return edges.unionByName(within).unionByName(between), [large_path, within_path, groups_path]
 
 
 def _short(perms: int):

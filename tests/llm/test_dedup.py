@@ -166,6 +166,30 @@ def test_large_buckets_are_compared_in_parts(spark):
     assert whole == parts == {k: 0 for k in range(1, 90)}
 
 
+def test_links_between_blocks_of_large_buckets_are_found(spark):
+    """Chains of entries that are near their neighbours only, so that most links are between blocks and of no block's first entries."""
+    r = np.random.default_rng(4)
+    sig = []
+    for length in (60, 30, 9, 1, 1):
+        one = r.integers(0, 256, 128)
+        for _ in range(length):
+            sig.append(one)
+            one = np.where(r.permutation(128) < 62, r.integers(0, 256, 128), one)
+    sig = np.array(sig, np.uint8)[r.permutation(len(sig))]
+    want = near._Sets(len(sig))
+    for i in range(len(sig)):
+        for j in np.flatnonzero(near.similarity(sig[i], sig[:i]) >= near.THRESHOLD):
+            want.join(i, int(j))
+    assert len(set(want.roots())) < 12
+    rated = spark.createDataFrame([(7, i, bytearray(s.tobytes()), len(sig)) for i, s in enumerate(sig)], "key long, sid long, bytes binary, n long")
+    for hot in (5, 40, 1000):
+        have = near._Sets(len(sig))
+        for a, b in near._edges(rated, near.THRESHOLD, hot, 8)[0].collect():
+            assert near.similarity(sig[a], sig[b]) >= near.THRESHOLD
+            have.join(a, b)
+        assert (want.roots() == have.roots()).all(), hot
+
+
 def test_near_copies_of_awkward_rows(spark):
     got = sorted(((r.doc_id, r.near_of) for r in near.near_duplicates(docs_of(spark, ODD)).collect()), key=repr)
     assert got == sorted([(7, 6), (7, 6), (9, 8)], key=repr)
