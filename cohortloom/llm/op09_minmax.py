@@ -2,11 +2,12 @@
 
 A text's word SHINGLE-grams are permuted by PERMS multiply-shift functions; of every permutation both the least and
 the greatest value are kept, so PERMS evaluations give 2 * PERMS signature values, each equal in two texts with
-the Jaccard similarity as its probability. Texts of equal signature are one entry; entries are banded by ROWS
-values each. Entries that share a band are compared by all signature values (one byte of each), and those of an
-estimated similarity of THRESHOLD or more are near. Groups are the connected components of that relation. Two texts of
-similarity 0.5 share one of the 42 bands with probability 0.996; the estimate's standard error there is 0.044, and THRESHOLD
-is about one below 0.5.
+the Jaccard similarity as its probability. Of each value 16 bits are kept. Texts of equal signature are one entry. Entries whose signatures
+give an estimated similarity of THRESHOLD or more are near; groups are the connected components of that relation. The estimate's
+standard error at a similarity of 0.5 is 0.044, and THRESHOLD is about one below 0.5.
+
+Bands of ROWS values find what is to be compared, and leave out no pair that is near: THRESHOLD asks for 58 equal ones of 128 values,
+so of 57 groups of two or three values at least one has two that are equal, and all 85 choices of two from a group are bands.
 
 Within a band's bucket all pairs count, but pairs that the bucket's earlier pairs have joined already aren't
 looked at again: leaders are compared with all others, and only between the components that are left are all
@@ -24,6 +25,8 @@ text hash; repeated rows are in one group; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +37,7 @@ from . import common, tokens
 
 SHINGLE = 3
 PERMS = 64
-ROWS = 3
+ROWS = 2
 THRESHOLD = 0.45
 #: Entries of a bucket that are compared at once.
 HOT = 8192
@@ -93,7 +96,7 @@ def _sign(perms: int, n: int):
                 part = b.slice(at, 2000)
                 words, starts = tokens.word_hashes(part.column(2))
                 doc, sig = signatures(words, starts, perms, n)
-                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * perms), len(doc), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
+                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * perms), len(doc), [None, pa.py_buffer(sig.astype(np.uint16).tobytes())]).cast(pa.binary())
                 keep = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), cells], names=["__id", "__th", "sig"])
 
@@ -107,17 +110,27 @@ def signed(docs: DataFrame, id_col: str, text_col: str, perms: int = PERMS, n: i
     return rows.mapInArrow(_sign(perms, n), schema)
 
 
-def _band(perms: int, rows: int):
+def bands(values: int, rows: int, threshold: float) -> np.ndarray:
+    """Bands as rows of places, so that two signatures of so many values and of threshold or more agree in all places of one."""
+    need = int(np.argmax(_estimate(np.arange(values + 1), values, 16) >= threshold))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0, and 1 at most")
+    rows = min(rows, need)
+    groups = (need - 1) // (rows - 1) if rows > 1 else values  # one has rows equal values, as all with fewer would make less than need
+    return np.array([c for g in np.array_split(np.arange(values), groups) for c in combinations(g, rows)])
+
+
+def _band(perms: int, rows: int, threshold: float):
+    places = bands(2 * perms, rows, threshold)
+
     def band(batches):
         for b in batches:
             _, data = tokens.buffers(b.column(1))
-            sig = data.view(np.uint8).reshape(-1, 8 * perms)
-            values = np.ascontiguousarray(sig).view(np.uint32).reshape(-1, 2 * perms)
-            bands = 2 * perms // rows
-            key = np.zeros((len(values), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
-            for r in range(rows):
-                key = tokens.mix(key * np.uint64(31) + values[:, r : bands * rows : rows])
-            sid = np.repeat(b.column(0).to_numpy(), bands)
+            values = data.view(np.uint16).reshape(-1, 2 * perms)
+            key = np.zeros((len(values), len(places)), np.uint64) + np.arange(len(places), dtype=np.uint64)
+            for at in places.T:
+                key = tokens.mix(key * np.uint64(31) + values[:, at])
+            sid = np.repeat(b.column(0).to_numpy(), len(places))
             yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(key.ravel().view(np.int64))], names=["sid", "key"])
 
     return band
@@ -149,15 +162,20 @@ class _Sets:
             self.up = nxt
 
 
+def _estimate(same: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Estimated Jaccard similarity from so many equal ones of n values, corrected for those that are equal by chance."""
+    return (same / n - 0.5**bits) / (1 - 0.5**bits)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of signature bytes, corrected for bytes that are equal by chance."""
+    """Estimated Jaccard similarity of signatures."""
     same = a == b
     n = same.shape[-1]
     if n % 8 == 0 and n < 255:  # eight counts side by side in a word; modulo 255 it is the sum of its bytes
         same = np.ascontiguousarray(same).view(np.uint64).sum(axis=-1, dtype=np.uint64) % np.uint64(255)
     else:
         same = same.sum(axis=-1)
-    return (same / n - 1 / 256) * (256 / 255)
+    return _estimate(same, n, 8 * a.dtype.itemsize)
 
 
 def near_edges(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -191,7 +209,7 @@ def _verify(threshold: float):
     def verify(t: pa.Table) -> pa.Table:
         key, sid = t.column("key").to_numpy(), t.column("sid").to_numpy()
         _, data = tokens.buffers(t.column("bytes"))
-        sig = data.reshape(len(key), -1)
+        sig = data.view(np.uint16).reshape(len(key), -1)
         o = np.lexsort((sid, key))
         key, sid, sig = key[o], sid[o], sig[o]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -219,7 +237,7 @@ def _cross(threshold: float):
     def cross(t: pa.Table) -> pa.Table:
         sid, late = t.column("sid").to_numpy(), t.column("late").to_numpy(zero_copy_only=False)
         _, data = tokens.buffers(t.column("bytes"))
-        sig = data.reshape(len(sid), -1)
+        sig = data.view(np.uint16).reshape(len(sid), -1)
         names, c = np.unique(t.column("c").to_numpy(), return_inverse=True)
         sets, edges = _Sets(len(names)), []
         one, two = np.flatnonzero(~late), np.flatnonzero(late)
@@ -264,37 +282,25 @@ def _edges(rated: DataFrame, threshold: float, hot: int, n_buckets: int) -> tupl
     return edges.unionByName(within).unionByName(between), [large_path, within_path, groups_path]
 
 
-def _short(perms: int):
-    def short(batches):
-        """The low byte of every signature value."""
-        for b in batches:
-            _, data = tokens.buffers(b.column(1))
-            low = np.ascontiguousarray(data.reshape(-1, 2 * perms, 4)[:, :, 0])
-            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * perms), b.num_rows, [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), cells], names=["sid", "bytes"])
-
-    return short
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perms: int = PERMS, rows: int = ROWS, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(__id, __th, n, first_id, first_th) of all rows in groups of two rows or more; n: rows of this key."""
     spark = docs.sparkSession
     signs, signs_path = common.materialize(signed(docs, id_col, text_col, perms, shingle).withColumn("sid", F.xxhash64("sig")), "signatures")
     entries = signs.groupBy("sid").agg(F.first("sig").alias("sig"))
-    keyed = entries.mapInArrow(_band(perms, rows), "sid long, key long")
+    keyed = entries.mapInArrow(_band(perms, rows, threshold), "sid long, key long")
     members, members_path = common.materialize(_sized(keyed), "bands")
     wanted = members.select("sid").distinct()
-    brief = signs.join(wanted, "sid", "left_semi").select("sid", "sig").dropDuplicates(["sid"]).mapInArrow(_short(perms), "sid long, bytes binary")
+    brief = signs.join(wanted, "sid", "left_semi").select("sid", F.col("sig").alias("bytes")).dropDuplicates(["sid"])
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.parts(members, 1 << 20))
     edges, hot_paths = _edges(members.join(brief, "sid").select("key", "sid", "bytes", "n"), threshold, hot, n_buckets)
-    edges = edges.distinct()
+    edges, edges_path = common.materialize(edges.distinct(), "near-edges")  # components read it twice
     groups, groups_path = common.connected_components(edges)
     placed = signs.select("__id", "__th", "sid").join(groups.withColumnsRenamed({"node": "sid", "component": "g"}), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
     by_key = placed.groupBy("g", "__id", "__th").agg(F.count(F.lit(1)).alias("n"))
     first = by_key.groupBy("g").agg(F.min(F.struct("__id", "__th")).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
     out = by_key.join(first, "g").select("__id", "__th", "n", F.col("first.__id").alias("first_id"), F.col("first.__th").alias("first_th"))
     out, _ = common.materialize(out, "near-groups")
-    common.release(spark, signs_path, members_path, groups_path, *hot_paths)
+    common.release(spark, signs_path, members_path, edges_path, groups_path, *hot_paths)
     return out
 
 

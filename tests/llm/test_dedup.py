@@ -166,6 +166,43 @@ def test_large_buckets_are_compared_in_parts(spark):
     assert whole == parts == {k: 0 for k in range(1, 90)}
 
 
+def test_no_pair_of_the_threshold_is_left_out(spark):
+    """Texts with a partner near the threshold, against all pairs of their signatures."""
+    from cohortloom.llm import tokens
+
+    own, rows = random.Random(8), []
+    for g in range(700):
+        base = [own.choice(VOCABULARY) for _ in range(150)]
+        w = base[:]
+        for i in own.sample(range(150), own.choice([18, 19, 20, 21, 22])):
+            w[i] = f"other{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+    sig = near.signatures(*tokens.word_hashes(pa.array([t for _, t in rows])))[1].astype(np.uint16)
+    want = near._Sets(len(rows))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(near.similarity(sig[i], sig[:i]) >= near.THRESHOLD):
+            want.join(i, int(j))
+    links = {i: int(g) for i, g in enumerate(want.roots()) if i != g}
+    assert 250 < len(links) < 650
+    got = {r.doc_id: r.near_of for r in near.near_duplicates(docs_of(spark, rows)).collect()}
+    assert not set(links) - set(got)
+    assert got == links
+
+
+def test_bands_leave_no_pair_out():
+    r = np.random.default_rng(5)
+    for values, rows, threshold in ((128, 2, 0.45), (128, 3, 0.45), (128, 1, 0.3), (16, 2, 0.5), (16, 3, 0.2), (10, 4, 0.1), (128, 2, 1.0)):
+        places = near.bands(values, rows, threshold)
+        a = np.arange(values, dtype=np.uint16)
+        need = next(k for k in range(values + 1) if near.similarity(a, np.where(np.arange(values) < k, a, a + 1)) >= threshold)
+        for _ in range(300):
+            equal = r.permutation(values) < need
+            assert equal[places].all(axis=1).any()
+    for threshold in (0, 1.1):
+        with pytest.raises(ValueError):
+            near.bands(128, 2, threshold)
+
+
 def test_links_between_blocks_of_large_buckets_are_found(spark):
     """Chains of entries that are near their neighbours only, so that most links are between blocks and of no block's first entries."""
     r = np.random.default_rng(4)
@@ -175,7 +212,7 @@ def test_links_between_blocks_of_large_buckets_are_found(spark):
         for _ in range(length):
             sig.append(one)
             one = np.where(r.permutation(128) < 62, r.integers(0, 256, 128), one)
-    sig = np.array(sig, np.uint8)[r.permutation(len(sig))]
+    sig = np.array(sig, np.uint16)[r.permutation(len(sig))]
     want = near._Sets(len(sig))
     for i in range(len(sig)):
         for j in np.flatnonzero(near.similarity(sig[i], sig[:i]) >= near.THRESHOLD):
