@@ -104,3 +104,26 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_leaves_no_pair_of_the_threshold(spark, tmp_path):
+    """Texts with a partner near the threshold: the stage drops those that all pairs of signatures drop."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortloom.llm import op09_minmax as near
+    from cohortloom.llm import tokens
+
+    own, rows = random.Random(8), []
+    for g in range(700):
+        base = [own.choice(VOCABULARY[:400]) for _ in range(150)]
+        w = base[:]
+        for i in own.sample(range(150), own.choice([18, 19, 20, 21, 22])):
+            w[i] = f"other{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+    sig = near.signatures(*tokens.word_hashes(pa.array([t for _, t in rows])))[1].astype(np.uint16)
+    gone = {i for i in range(len(rows)) if (near.similarity(sig[i], sig[:i]) >= near.THRESHOLD).any()}
+    assert 250 < len(gone) < 650
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), str(tmp_path)).collect()}
+    assert not kept & gone
+    assert kept == set(range(len(rows))) - gone
