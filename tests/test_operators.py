@@ -272,3 +272,16 @@ def test_similar_patients_are_those_of_a_plain_ranking(spark):
         for k, same in enumerate((True, False)):
             want = [f"{info[j][3]}\n\nLabel:\n{info[j][2]}\n\n" for j in near if (info[i][2] == info[j][2]) == same][:2]
             assert got[i][k] == (want or [retrieval.NONE])
+
+
+def test_what_a_search_shuffles_grows_as_its_input(spark, monkeypatch):
+    """A share's results are final: no row of a pair is shuffled, and the number of shares doesn't follow the table."""
+    monkeypatch.setattr(vectors, "SHARES", 3)
+    d = spark.range(9000).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 2), F.sin(F.col("id") * 3)).alias("vec"), (F.col("id") % 3).alias("label"), F.col("id").alias("patient"))
+    assert vectors.shares_of(d) == 3
+    for got in (vectors.top_k(d, d, 5), vectors.top_k_by_label(d, 1), vectors.top_k_of_others(d.withColumn("fits", F.lit(True)), 20, 10, 2)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Repartition") == 1 and "Window" not in plan and "CoGroup" not in plan
+    names = d.withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    a, b = (sorted((int(str(r.query).strip("n")), r.rank, int(str(r.item).strip("n"))) for r in vectors.top_k(x.filter("patient < 40"), x, 3).collect()) for x in (d, names))
+    assert a == b
