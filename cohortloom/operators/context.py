@@ -56,12 +56,26 @@ def concept_filter(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def patient_nodes(concepts: DataFrame, graphs: DataFrame) -> DataFrame:
-    """(sample_id, kind, node): direct nodes are the mapped concepts, indirect ones the other nodes of the concepts' graphs (concept, head, tail)."""
-    direct = concepts.select("sample_id", F.lit("direct").alias("kind"), "node").distinct()
+def profiles(concepts: DataFrame, graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((sample_id, profile), (profile, kind, node)): samples of the same concepts have the same nodes and one profile."""
+    sets = concepts.groupBy("sample_id").agg(F.array_sort(F.collect_set(F.struct("node"))).alias("own")).withColumn("profile", F.sha2(F.to_json("own"), 256))
+    direct = sets.select("profile", "own").distinct().select("profile", F.explode("own.node").alias("node"))
     n = graphs.select("concept", F.explode(F.array("head", "tail")).alias("node")).filter("node <> concept").distinct()
-    indirect = concepts.select("sample_id", F.col("node").alias("concept")).distinct().join(n, "concept").select("sample_id", F.lit("indirect").alias("kind"), "node").distinct()
-    return direct.unionByName(indirect)
+    indirect = direct.withColumnRenamed("node", "concept").join(n, "concept").select("profile", F.lit("indirect").alias("kind"), "node").distinct()
+    return sets.select("sample_id", "profile"), direct.select("profile", F.lit("direct").alias("kind"), "node").unionByName(indirect)
+
+
+def patient_nodes(concepts: DataFrame, graphs: DataFrame, parts: int = 64) -> DataFrame:
+    """(sample_id, kind, node): direct nodes are the mapped concepts, indirect ones the other nodes of the concepts' graphs (concept, head, tail).
+
+    A profile's nodes are made distinct once and sent in lists to each of the parts of its samples, where they are listed for each
+    sample: no row of the result is shuffled, and a profile of many samples is dealt with in as many tasks as it has parts.
+    """
+    of, nodes = profiles(concepts, graphs)
+    of = of.withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(parts)))
+    lists = nodes.groupBy("profile", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("k")).agg(F.collect_list(F.struct("kind", "node")).alias("x")).drop("k")
+    there = of.select("profile", "part").distinct().join(lists, "profile")
+    return of.join(there, ["profile", "part"]).select("sample_id", F.explode("x").alias("x")).select("sample_id", "x.kind", "x.node")
 
 
 def truncated(text: Column, most: int = 30000) -> Column:

@@ -285,3 +285,15 @@ def test_what_a_search_shuffles_grows_as_its_input(spark, monkeypatch):
     names = d.withColumn("id", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")))
     a, b = (sorted((int(str(r.query).strip("n")), r.rank, int(str(r.item).strip("n"))) for r in vectors.top_k(x.filter("patient < 40"), x, 3).collect()) for x in (d, names))
     assert a == b
+
+
+def test_nodes_of_patients_are_made_once_a_profile(spark):
+    rng = random.Random(3)
+    concepts = [(p, f"c{rng.randint(0, 3)}") for p in range(60) for _ in range(rng.randint(1, 3))]
+    graphs = [(f"c{c}", *(rng.choice([f"c{rng.randint(0, 3)}", f"n{rng.randint(0, 9)}"]) for _ in range(2))) for c in range(4) for _ in range(5)]
+    c, g = spark.createDataFrame(concepts, "sample_id long, node string"), spark.createDataFrame(graphs, "concept string, head string, tail string")
+    want = {(p, "direct", n) for p, n in concepts} | {(p, "indirect", n) for p, k in concepts for x, *ends in graphs for n in ends if x == k != n}
+    got = context.patient_nodes(c, g, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    top = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # what comes after the last join
+    assert "Aggregate" not in top and "Union" not in top
