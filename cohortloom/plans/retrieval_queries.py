@@ -115,13 +115,18 @@ def _patient_vecs(spark, d):
     return _vecs(spark, d).select(F.col("id").alias("sample_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
 
 
+def _one_shot(spark, d):
+    of, nodes = context.profiles(_patients(spark, d), _graphs(spark, d))
+    return retrieval.one_shot_scores(nodes, _members(spark, d), _patient_vecs(spark, d), _label_vecs(spark, d), of=of)
+
+
 def one_shot_communities(spark, d):
-    s = retrieval.one_shot_scores(patient_nodes(spark, d), _members(spark, d), _patient_vecs(spark, d), _label_vecs(spark, d))
+    s = _one_shot(spark, d)
     return s.withColumn("score", F.round("score", 6))
 
 
 def support_texts(spark, d):
-    s = retrieval.one_shot_scores(patient_nodes(spark, d), _members(spark, d), _patient_vecs(spark, d), _label_vecs(spark, d))
+    s = _one_shot(spark, d)
     t = clinical.read(spark, d, "nation").select(F.col("n_nationkey").alias("community"), F.concat(F.lit("about "), "n_name").alias("summary"))
     return retrieval.support_text(s, t)
 
@@ -133,9 +138,9 @@ def theme_factors(spark, d):
 
 def greedy_communities(spark, d):
     v = _label_vecs(spark, d)
-    n = patient_nodes(spark, d)
-    visits = n.filter("kind = 'direct'").select("sample_id", "node", F.pmod(F.col("sample_id"), F.lit(4)).alias("visit_idx"))
-    return retrieval.greedy_retrieval(n, _members(spark, d), _patient_vecs(spark, d), v, v, visits)
+    of, nodes = context.profiles(_patients(spark, d), _graphs(spark, d))
+    visits = _patients(spark, d).withColumn("visit_idx", F.pmod(F.col("sample_id"), F.lit(4)))
+    return retrieval.greedy_retrieval(nodes, _members(spark, d), _patient_vecs(spark, d), v, v, visits, of=of)
 
 
 def _by_label(spark, d):

@@ -297,3 +297,19 @@ def test_nodes_of_patients_are_made_once_a_profile(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     top = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # what comes after the last join
     assert "Aggregate" not in top and "Union" not in top
+
+
+def test_scores_by_profile_are_those_by_patient(spark):
+    rng = random.Random(8)
+    concepts = spark.createDataFrame([(p, f"c{p % 3}") for p in range(12)], "sample_id long, node string")
+    graphs = spark.createDataFrame([(f"c{c}", f"c{c}", f"n{rng.randint(0, 20)}") for c in range(3) for _ in range(6)], "concept string, head string, tail string")
+    members = spark.createDataFrame(sorted({(c, rng.choice([f"n{rng.randint(0, 20)}", f"c{rng.randint(0, 2)}"])) for c in range(14) for _ in range(5)}), "community long, node string")
+    vecs = lambda n, seed, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(n, 4, seed))], f"{name} long, vec array<double>")
+    visits = concepts.withColumn("visit_idx", F.col("sample_id") % 4)
+    of, nodes = context.profiles(concepts, graphs)
+    assert nodes.select("profile").distinct().count() == 3
+    more = vecs(12, 1, "sample_id"), vecs(14, 2, "community")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    plain = context.patient_nodes(concepts, graphs)
+    assert rows(retrieval.one_shot_scores(nodes, members, *more, keep=3, of=of)) == rows(retrieval.one_shot_scores(plain, members, *more, keep=3))
+    assert rows(retrieval.greedy_retrieval(nodes, members, *more, more[1], visits, of=of)) == rows(retrieval.greedy_retrieval(plain, members, *more, more[1], visits))
