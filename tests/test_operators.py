@@ -313,3 +313,25 @@ def test_scores_by_profile_are_those_by_patient(spark):
     plain = context.patient_nodes(concepts, graphs)
     assert rows(retrieval.one_shot_scores(nodes, members, *more, keep=3, of=of)) == rows(retrieval.one_shot_scores(plain, members, *more, keep=3))
     assert rows(retrieval.greedy_retrieval(nodes, members, *more, more[1], visits, of=of)) == rows(retrieval.greedy_retrieval(plain, members, *more, more[1], visits))
+
+
+def test_near_duplicates_of_large_and_equal_sets(spark, monkeypatch):
+    """Sets of all sizes around the number of shared elements, changed copies, equal ones; as many copies more cost no pair more."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        old = rng.choice(rows)[1] if rows and i % 3 else rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(0, 17))
+        new = set(old) ^ set(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(0, 5)))
+        rows.append((i, sorted(new - {None}) + [None] * (i % 20 == 0)))
+    table = lambda r: spark.createDataFrame(r, "ord long, concepts array<string>")
+    far = lambda a, b: len(set(a) ^ set(b))
+    for t in (1, 4, 5):
+        want = {(i, j) for i, a in rows for j, b in rows if i < j and far(a, b) < t}
+        assert {(r.i, r.j) for r in cooccurrence.similar_pairs(table(rows), t).collect()} == want
+    seen, pairs = [], cooccurrence.similar_pairs
+    monkeypatch.setattr(cooccurrence, "similar_pairs", lambda s, *a: seen.append(s.count()) or pairs(s, *a))
+    for bound in (None, 6):
+        twice = rows + [(1000 * k + i, c[::-1]) for k in (1, 2) for i, c in rows]
+        want = cooccurrence.greedy_by_scan(pd.DataFrame(twice, columns=["ord", "concepts"]), 5, bound)
+        assert sorted(r.ord for r in cooccurrence.near_duplicate_filter(table(twice), 5, bound).collect()) == want
+    assert seen == [len({frozenset(c) for _, c in rows}), len({frozenset(c) for _, c in rows if len(c) > 6})]
