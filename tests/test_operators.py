@@ -335,3 +335,23 @@ def test_near_duplicates_of_large_and_equal_sets(spark, monkeypatch):
         want = cooccurrence.greedy_by_scan(pd.DataFrame(twice, columns=["ord", "concepts"]), 5, bound)
         assert sorted(r.ord for r in cooccurrence.near_duplicate_filter(table(twice), 5, bound).collect()) == want
     assert seen == [len({frozenset(c) for _, c in rows}), len({frozenset(c) for _, c in rows if len(c) > 6})]
+
+
+def test_modularity_from_ends_is_that_from_members(spark):
+    rng = random.Random(23)
+    rows = sorted({(f"n{a}", f"n{b}") for a, b in ((rng.randint(0, 12), rng.randint(0, 12)) for _ in range(40)) if a <= b})
+    of = {f"n{k}": f"c{k % 3}" for k in range(12)}  # one node has no community
+    e, m = spark.createDataFrame(rows, "u string, v string"), spark.createDataFrame(list(of.items()), "node string, community string")
+    inside = {c: sum(of.get(u) == of.get(v) == c for u, v in rows) for c in of.values()}
+    ends = {c: sum((of.get(u) == c) + (of.get(v) == c) for u, v in rows) for c in of.values()}
+    want = sum(inside[c] / len(rows) - (ends[c] / 2 / len(rows)) ** 2 for c in ends)
+    named = e.join(m.toDF("u", "cu"), "u", "left").join(m.toDF("v", "cv"), "v", "left")
+    assert communities.modularity(e, m).first()[0] == pytest.approx(want) == communities.modularity(named).first()[0]
+
+
+def test_queries_of_a_partition_join_no_edges(spark):
+    """The only joins are those of lines with parts and orders; members and both ends took more."""
+    from cohortloom.plans import knowledge_queries as kq
+
+    for query, joins in ((kq.community_triples, 2), (kq.distinct_communities, 2), (kq.modularity, 1)):  # modularity's is with one row, after its table of counts
+        assert query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
