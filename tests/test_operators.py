@@ -337,6 +337,30 @@ def test_near_duplicates_of_large_and_equal_sets(spark, monkeypatch):
     assert seen == [len({frozenset(c) for _, c in rows}), len({frozenset(c) for _, c in rows if len(c) > 6})]
 
 
+def test_communities_from_arrays_are_those_of_the_plain_loop(monkeypatch):
+    rng = random.Random(21)
+    near: dict = {}
+    for _ in range(700):
+        u, v = (f"n{rng.randint(0, 50) // rng.choice([1, 1, 5]):02}" for _ in range(2))
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    for seed, randomness in ((0, 0.0), (1, 0.4)):
+        got = []
+        for dense, many in ((10**9, 0), (0, 10**9), (0, 12)):
+            monkeypatch.setattr(communities, "DENSE", dense)
+            monkeypatch.setattr(communities, "MANY", many)
+            got.append(communities.hierarchy(near, 5, seed, randomness))
+        assert got[0] == got[1] == got[2] and {n for _, _, n in got[0]} == set(near)
+
+
+def test_triples_of_each_run_are_made_once(spark, monkeypatch):
+    rng = random.Random(22)
+    e = spark.createDataFrame(sorted({(f"n{a}", f"n{b}", "r") for a, b in ((rng.randint(0, 30), rng.randint(31, 60)) for _ in range(90))}), "u string, v string, relation string")
+    seen, plain = [], graph.community_triples
+    monkeypatch.setattr(graph, "community_triples", lambda m, e: seen.append(m.select("run").distinct().count()) or plain(m, e))
+    assert communities.repeat_until(e, 10**6, 5).count() > 0 and len(seen) > 1 and set(seen) == {1}
+
+
 def test_modularity_from_ends_is_that_from_members(spark):
     rng = random.Random(23)
     rows = sorted({(f"n{a}", f"n{b}") for a, b in ((rng.randint(0, 12), rng.randint(0, 12)) for _ in range(40)) if a <= b})
