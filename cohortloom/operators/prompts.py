@@ -104,7 +104,7 @@ def consolidate(rows: DataFrame, group: str, text: str, provider=stub, whole: in
         sized = level.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
         part = F.when(F.col("n") <= whole, F.lit(0)).otherwise(F.floor((F.col("i") - 1) / chunk))
         joined = sized.withColumn("part", part).groupBy(group, "part", "n").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "t"))).getField("t"), "\n").alias("p"))
-        told, _ = materialize(complete(joined, "p", provider, "t").select(group, "t", (F.col("part") + 1).cast("int").alias("i"), "n"), "texts")
+        told, _ = materialize(complete(joined, "p", provider, "t", keep_prompt=False).select(group, "t", (F.col("part") + 1).cast("int").alias("i"), "n"), "texts")
         if told.filter(F.col("n") > whole).isEmpty():
             return told.select(group, F.col("t").alias("text"))
         level = told.drop("n")
@@ -118,10 +118,10 @@ def predictor_rounds(rows: DataFrame, predictor=stub, critic=stub, rounds: int =
     feedback, out = None, None
     for r in range(rounds):
         p = rows.withColumn("full", F.col("prompt")) if feedback is None else rows.crossJoin(feedback).withColumn("full", F.concat("prompt", F.lit("\n# Feedback #\n"), "feedback"))
-        told, _ = materialize(complete(p, "full", predictor, "prediction").withColumn("wrong", F.right("prediction", F.lit(1)) != F.col("label").cast("string")).select("id", F.lit(r).alias("round"), "prediction", "wrong"), "round")
+        told, _ = materialize(complete(p.select("id", "label", "full"), "full", predictor, "prediction", keep_prompt=False).withColumn("wrong", F.right("prediction", F.lit(1)) != F.col("label").cast("string")).select("id", F.lit(r).alias("round"), "prediction", "wrong"), "round")
         out = told if out is None else out.unionByName(told)
         wrong = numbered(told.filter("wrong"), "place", "id").withColumn("b", F.floor(F.col("place") / batch)).groupBy("b").agg(F.array_join(F.array_sort(F.collect_list("prediction")), "\n").alias("errors"))
-        said = complete(wrong, "errors", critic, "f").withColumn("g", F.lit(0))
+        said = complete(wrong, "errors", critic, "f", keep_prompt=False).withColumn("g", F.lit(0))
         feedback = consolidate(said, "g", "f", critic).select(F.col("text").alias("feedback"))
         if feedback.isEmpty():
             feedback = None

@@ -379,3 +379,10 @@ def test_queries_of_a_partition_join_no_edges(spark):
 
     for query, joins in ((kq.community_triples, 2), (kq.distinct_communities, 2), (kq.modularity, 1)):  # modularity's is with one row, after its table of counts
         assert query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
+
+
+def test_a_completion_sends_back_no_prompt(spark):
+    d = spark.createDataFrame([(1, "a", None), (2, None, [3])], "id long, prompt string, x array<int>")
+    got = providers.complete(d, "prompt", lambda p: p + "!", "told", keep_prompt=False)
+    assert got.columns == ["id", "x", "told"] and sorted(map(tuple, got.collect())) == [(1, None, "a!"), (2, [3], None)]
+    assert sorted(map(tuple, providers.complete(d, "prompt", lambda p: p + "!").collect())) == [(1, "a", None, "a!"), (2, None, [3], None)]
